@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op5_exact, op6_lines
+from . import op5_exact, op6_lines, op7_pii
 
-MODULES = (op5_exact, op6_lines)
+MODULES = (op5_exact, op6_lines, op7_pii)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
