@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op5_exact, op6_lines, op7_pii, op9_packing, op10_tokens
+from . import op4_urls, op5_exact, op6_lines, op7_pii, op8_toxicity, op9_packing, op10_tokens
 
-MODULES = (op5_exact, op6_lines, op7_pii, op9_packing, op10_tokens)
+MODULES = (op4_urls, op5_exact, op6_lines, op7_pii, op8_toxicity, op9_packing, op10_tokens)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
