@@ -20,7 +20,7 @@ from .common import ASCII_SPACE, NULL_ID, ascii_lower, documents, materialise, w
 MIN_CHARS = 40
 MIN_DOCS = 5
 #: A key's occurrences are split in pieces of about so many documents.
-PIECE = 50_000
+PIECE = 1_000
 #: So many keys (about 32 bytes each) are broadcast; beyond, the join is by shuffle.
 BROADCAST_KEYS = 100_000
 
@@ -83,7 +83,8 @@ def line_dedup(
     small = heavy.count() <= broadcast_keys
     found = rows.select("_id", "_h", F.posexplode("_keys").alias("_pos", "_hex")).filter("_hex is not null")
     found = found.select("_id", "_h", "_pos", F.unhex("_hex").alias("_k"))
-    found = found.join(F.broadcast(heavy) if small else heavy, "_k")
+    # written once: choosing range splitters reads its input a second time
+    found = materialise(found.join(F.broadcast(heavy) if small else heavy, "_k"), "line-rows")
     salt = F.pmod(F.xxhash64("_id"), (F.col("_n") / piece).cast("int") + 1).cast("int")
     order = F.col("_id").desc() if largest else F.col("_id").asc()
     streamed = (
