@@ -207,7 +207,7 @@ def _anchors(buckets: int):
             doc = np.searchsorted(off, start, side="right") - 1
             hashes.append(h)
             docs.append(doc)
-        if not hashes:
+        if not sum(map(len, hashes)):
             return _rows([])
         h, d = np.concatenate(hashes), np.concatenate(docs)
         order = np.lexsort((d, h))
@@ -242,7 +242,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]
         yield now, held
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(batches: Iterator[pa.RecordBatch], hot_from: int) -> Iterator[pa.RecordBatch]:
     for key, rows in _read(batches):
         h, who, count = [], [], []
         for i, r in enumerate(rows):
@@ -259,7 +259,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, who, total = h[shared], who[shared], total[shared]
         out = []
         for i, part in _by_key(who):
-            hot = total[part] >= HOT
+            hot = total[part] >= hot_from
             out.append((key, rows[i][1], 1, pack48(h[part[~hot]]), pack48(h[part[hot]]), None, None))
         if out:
             yield from _rows(out).to_batches()
@@ -430,7 +430,9 @@ def _cut(key: tuple, docs: pa.Table, marks: pa.Table) -> pa.Table:
     return pa.table(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
+def remove_repeats(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, hot: int = HOT
+) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A null text counts as empty.  A null id ranks after all others.  Rows of one
@@ -449,7 +451,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return d.repartition("key").sortWithinPartitions("key")
 
     found = dealt(rows.groupBy("p").applyInArrow(_anchors(groups), ROWS))
-    reply = found.mapInArrow(_shared, ROWS)
+    reply = found.mapInArrow(lambda batches: _shared(batches, hot), ROWS)
     sent = rows.groupBy("p").cogroup(reply.groupBy("p")).applyInArrow(_segments(groups), ROWS)
     marks = dealt(sent).mapInArrow(_repeats, ROWS)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
