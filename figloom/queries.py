@@ -16,6 +16,7 @@ from .operators import harvest as R
 from .operators import marks as M
 from .operators import stats as S
 from .operators import transforms as P
+from .plans import rounds as L
 from .sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -594,6 +595,18 @@ def consecutive_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.stop_after_empty(f, "user_id", "event_id", "found")
 
 
+@query("SELECT p_name FROM part WHERE p_size <= 10 INTERSECT SELECT p_name FROM part WHERE p_size > 40")
+def label_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return L.labels_on_both(p.filter("p_size <= 10"), p.filter("p_size > 40"), "p_name")
+
+
+@query("SELECT t.etype, count(e.event_id) AS n FROM (VALUES ('constraint'), ('style'), ('geom'), ('layout'), ('ref')) t(etype) LEFT JOIN events e ON t.etype = CASE e.event_type WHEN 'error' THEN 'constraint' WHEN 'view' THEN 'style' WHEN 'click' THEN 'geom' END GROUP BY 1")
+def evidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.when(F.col("event_type") == "error", "constraint").when(F.col("event_type") == "view", "style").when(F.col("event_type") == "click", "geom")
+    return L.evidence_counts(table(spark, sf_dir, "events").select(e.alias("etype")))
+
+
 # fixtures and sources
 
 ITEMS = [

@@ -1,6 +1,7 @@
 import pytest
 
 from figloom.plans import figure as FIG
+from figloom.plans import rounds as L
 from figloom.plans import spec as P
 
 
@@ -56,3 +57,31 @@ def test_figure_document(spark):
     doc = FIG.figure(df, {"x": "month", "y": "units", "group": "channel", "chart_family": "bar"}, {"data.prepare": lambda d, s: d.filter("units > 5")})
     assert {(r["month"], r["channel"], r["height"]) for r in doc["data"]["bar"]} == {("m1", "b", 6.0), ("m2", "a", 15.0), ("m1", "a", 0.0), ("m2", "b", 0.0)}
     assert doc["y_range"] == (0.0, 8.0) and "bar of units" in doc["alt_text"]
+
+
+def test_rounds(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+
+    class Provider:
+        def slots(self, spec):
+            return {"data.prepare": lambda d, s: d.filter("v > 1"), "axes.ticks": 1}
+
+    low = lambda d: {"visual_form": 0.1, "data_fidelity": 0.1}
+    done = L.run_rounds(df, {"x": "k", "y": "v", "chart_family": "bar"}, Provider(), low, 2, str(tmp_path))
+    assert [len(r.document["data"]["bar"]) for r in done] == [2, 1] and done[1].rejected == ["axes.ticks"]
+    assert (tmp_path / "iteration_2.json").exists()
+
+    class Broken:
+        def slots(self, spec):
+            return {"data.prepare": lambda d, s: d.filter("nothing > 1")}
+
+    assert L.run_rounds(df, {"x": "k", "y": "v"}, Broken(), low, 2)[1].rejected == ["data.prepare"]
+    assert len(L.run_rounds(df, {}, judge=lambda d: {"visual_form": 1.0, "data_fidelity": 1.0})) == 1
+
+
+def test_evidence(spark):
+    log = L.evidence_table(spark, [L.Link(1, L.Evidence.STYLE, {"a": 1.0}, {"b": 2}), L.Link(2, L.Evidence.STYLE)])
+    assert {r["etype"]: r["n"] for r in L.evidence_counts(log).collect()} == {"style": 2, "constraint": 0, "geom": 0, "layout": 0, "ref": 0}
+    assert L.json_safe({"a": float("nan"), "b": (1, None)}) == {"a": None, "b": [1, None]}
+    prof = L.workbook_profile({"s": spark.createDataFrame([(1,)], "c int")}, lambda d: [{"name": c} for c in d.columns])
+    assert prof["column_whitelist"] == {"s": ["c"]}
