@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,9 +93,10 @@ def pooled(df: DataFrame, columns: Sequence[str], name: str = "value") -> DataFr
     return df.select(F.explode(F.array(*[V.number(c) for c in columns])).alias(name)).filter(F.col(name).isNotNull())
 
 
-def second_largest(c: str = "value") -> Column:
-    """The second largest distinct value (an aggregate in constant space per task)."""
-    return F.element_at(F.sort_array(F.collect_set(c)), -2)
+def second_largest(df: DataFrame, y: str, name: str = "second") -> DataFrame:
+    """One row: the second largest distinct value, or null."""
+    top = df.select(V.number(y).alias("v")).filter("v is not null").distinct().orderBy(F.col("v").desc()).limit(2)
+    return top.agg(F.when(F.count(F.lit(1)) == 2, F.min("v")).alias(name))
 
 
 def high_quantile(df: DataFrame, y: str) -> DataFrame:
@@ -107,9 +108,8 @@ def high_quantile(df: DataFrame, y: str) -> DataFrame:
         F.max("v").alias("top"),
         F.percentile("v", F.array(F.lit(0.75), F.lit(0.9))).alias("q"),
     )
-    below = v.crossJoin(F.broadcast(v.agg(F.max("v").alias("m")))).filter("v < m").agg(F.max("v").alias("next"))
     q = F.when(F.col("n") >= 6, F.col("q")[1]).otherwise(F.col("q")[0])
-    out = one.crossJoin(below)
+    out = one.crossJoin(second_largest(v, "v", "next"))
     return out.select("n", "low", "top", F.when(q >= F.col("top"), F.col("next")).otherwise(q).alias("high"))
 
 

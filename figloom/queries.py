@@ -400,7 +400,7 @@ def y_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT max(l_quantity) AS second FROM lineitem WHERE l_quantity < (SELECT max(l_quantity) FROM lineitem)")
 def second_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").agg(S.second_largest("l_quantity").alias("second"))
+    return S.second_largest(table(spark, sf_dir, "lineitem"), "l_quantity")
 
 
 @query("SELECT round(avg(CAST(l_discount BETWEEN 0 AND 1 AS INTEGER)), 6) AS unit, round(avg(CAST(l_discount BETWEEN 0 AND 100 AS INTEGER)), 6) AS hundred, round(avg(CAST(l_discount > 0 AS INTEGER)), 6) AS positive, max(abs(l_discount)) AS magnitude FROM lineitem")
