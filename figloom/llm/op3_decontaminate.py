@@ -12,9 +12,10 @@ text lies.  No document moves.
   reach it, so only postings of the other (essential) terms are read.  Bounds
   per block of items (sums of block maxima plus the block's largest
   optional share) discard blocks, then exact partial sums discard items.
-* What is left is scored in full, and passages at or above the threshold are
-  kept if the item's question and answer both occur: question by 5-word
-  shingles, answer by shingles too (a short one as a whole).
+* What is left is scored in full.  A passage at or above the threshold is
+  kept if it holds 0.8 of the item's 5-word shingles, and 0.8 of the words of its
+  question and of its answer each, so a changed word in a short answer
+  does not hide a leak, and a question alone is none.
 
 A passage is a window of twice the longest item's words, moved by half, so a whole
 item always lies within one.
@@ -87,9 +88,10 @@ def question_and_answer(text: str) -> tuple[str, str]:
 @dataclass
 class Index:
     items: list
+    lengths: list[int]
+    whole: list[np.ndarray]
     question: list[np.ndarray]
     answer: list[np.ndarray]
-    sizes: list[int]
     share: list[tuple[np.ndarray, np.ndarray]]
     optional: np.ndarray
     terms: np.ndarray
@@ -113,7 +115,7 @@ def build(
     ``common`` counts terms in some documents: the commoner ones become optional
     first.  It changes the speed only, never the result.
     """
-    items, question, answer, sizes, share = [], [], [], [], []
+    items, lengths, whole, question, answer, share = [], [], [], [], [], []
     for item, text in rows:
         h = words_of([text])[1]
         if not len(h):
@@ -124,9 +126,10 @@ def build(
         idf = np.log(1 + (n_items - df + 0.5) / (df + 0.5))
         gain = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / mean_len))
         items.append(item)
-        question.append(np.unique(shingles(q, words)) if len(q) else np.unique(shingles(h, words)))
-        answer.append(np.unique(shingles(a, words)) if len(a) else np.unique(shingles(h, words)))
-        sizes.append((min(words, len(q) or len(h)), min(words, len(a) or len(h))))
+        lengths.append(len(h))
+        whole.append(np.unique(shingles(h, words)))
+        question.append(np.unique(q if len(q) else h))
+        answer.append(np.unique(a if len(a) else h))
         share.append((term, gain / gain.sum()))
     optional = np.zeros(len(items))
     essential: list[tuple[int, int, float]] = []
@@ -164,7 +167,7 @@ def build(
     bitmap[(terms >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
     step = max([32, *(len(words_of([text])[1]) for _, text in rows)])
     return Index(
-        items, question, answer, sizes, share, optional, terms, (off, i, g), (block_off, i[first] // BLOCK, top),
+        items, lengths, whole, question, answer, share, optional, terms, (off, i, g), (block_off, i[first] // BLOCK, top),
         block_optional, bitmap, step, threshold, overlap, words,
     )
 
@@ -176,8 +179,8 @@ def _spread(off: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return off[t][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), owner
 
 
-def query(index: Index, texts: list[str]) -> list[tuple[int, int, float, float, float]]:
-    """(text number, item number, score, question overlap, answer overlap), the best passage of each pair."""
+def query(index: Index, texts: list[str]) -> list[tuple[int, int, float, float, float, float]]:
+    """(text number, item number, score, overlap of item, question and answer), the best passage of each pair."""
     row, h = words_of(texts)
     if not len(h) or not len(index.terms):
         return []
@@ -215,7 +218,7 @@ def query(index: Index, texts: list[str]) -> list[tuple[int, int, float, float,
     sums = np.bincount(inverse, weights=gain[place][keep])
     key = key[sums + index.optional[key % n] >= index.threshold]
 
-    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    best: dict[tuple[int, int], tuple[float, float, float, float]] = {}
     for w, i in zip((key // n).tolist(), (key % n).tolist(), strict=True):
         text = int(np.searchsorted(base, w, side="right")) - 1
         x = begin[text] + (w - base[text]) * index.step
@@ -224,10 +227,11 @@ def query(index: Index, texts: list[str]) -> list[tuple[int, int, float, float,
         score = float(gains[np.isin(terms, own_words)].sum())
         if score < index.threshold:
             continue
-        q = float(np.isin(index.question[i], shingles(own_words, index.sizes[i][0])).mean())
-        a = float(np.isin(index.answer[i], shingles(own_words, index.sizes[i][1])).mean())
-        if q >= index.overlap and a >= index.overlap:
-            best[text, i] = max(best.get((text, i), (0.0, 0.0, 0.0)), (score, q, a))
+        size = min(index.words, index.lengths[i])
+        found = [(index.whole[i], shingles(own_words, size)), (index.question[i], own_words), (index.answer[i], own_words)]
+        over = [float(np.isin(x, y).mean()) for x, y in found]
+        if min(over) >= index.overlap:
+            best[text, i] = max(best.get((text, i), (0.0,) * 4), (score, *over))
     return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
@@ -269,11 +273,11 @@ def common_terms(df: DataFrame, text_col: str = "text", count: int = SCOUTS) ->
     return out
 
 
-PAIRS = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
+PAIRS = "doc_id bigint, item_id bigint, score double, overlap double, question_overlap double, answer_overlap double"
 
 
 def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per document row and test item found in it: ids, score, question_overlap, answer_overlap.
+    """One row per document row and test item found in it: ids, score, overlap, question_overlap, answer_overlap.
 
     Null or empty texts and items match nothing.  Null ids are reported as
     null; repeated rows are reported each; without items the result is empty.

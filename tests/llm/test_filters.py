@@ -46,8 +46,8 @@ def test_wand_equals_exhaustive_search():
             x = h[w * index.step : (w + 2) * index.step]
             for i in range(len(index.items)):
                 terms, gain = index.share[i]
-                parts = ((index.question[i], index.sizes[i][0]), (index.answer[i], index.sizes[i][1]))
-                over = all(np.isin(s, D.shingles(x, k)).mean() >= 0.8 for s, k in parts)
+                parts = [(index.whole[i], D.shingles(x, min(5, index.lengths[i]))), (index.question[i], x), (index.answer[i], x)]
+                over = all(np.isin(s, y).mean() >= 0.8 for s, y in parts)
                 if gain[np.isin(terms, x)].sum() >= index.threshold and over:
                     want.add((n, index.items[i]))
     assert got == want and len(want) > 25
@@ -55,15 +55,17 @@ def test_wand_equals_exhaustive_search():
 
 def test_decontaminate(spark):
     leak = f"{passage(90)} {ITEMS[7][1].upper()} {passage(90)}"
-    rows = [(1, leak, "a"), (2, passage(200), "b"), (None, leak, "c"), (3, None, "d"), (3, "", "e"), (4, ITEMS[9][1].split("?")[0], "f")]
+    edited = ITEMS[8][1].split()
+    edited[-3] = "changed"
+    rows = [(1, leak, "a"), (2, passage(200), "b"), (None, leak, "c"), (3, None, "d"), (3, "", "e"), (4, ITEMS[9][1].split("?")[0], "f"), (5, " ".join(edited), "g")]
     df = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     for block in (5, 1000):
         found = D.contaminated(df, items, block_items=block)
-        assert sorted(((r["doc_id"], r["item_id"]) for r in found.collect()), key=str) == [(1, 7), (None, 7)]
+        assert sorted(((r["doc_id"], r["item_id"]) for r in found.collect()), key=str) == [(1, 7), (5, 8), (None, 7)]
         assert sorted(r["item_id"] for r in D.decontaminate(df, items, block_items=block).collect()) == ["b", "d", "e", "f"]
     assert D.contaminated(df.limit(0), items).count() == 0
-    assert D.contaminated(df, items.limit(0)).count() == 0 and D.decontaminate(df, items.limit(0)).count() == 6
+    assert D.contaminated(df, items.limit(0)).count() == 0 and D.decontaminate(df, items.limit(0)).count() == 7
 
 
 def test_urls(spark):
