@@ -98,6 +98,18 @@ def unpack48(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def squeeze(b: bytes) -> bytes:
+    from zstandard import ZstdCompressor
+
+    return ZstdCompressor(3).compress(b)
+
+
+def expand(b: bytes) -> bytes:
+    from zstandard import ZstdDecompressor
+
+    return ZstdDecompressor().decompress(b)
+
+
 def _group(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """A group's distinct documents in order of id: flat bytes (with spare), offsets, ids, and each row's document."""
     ids, hashes = t.column("_id").to_pylist(), t.column("_h").to_pylist()
@@ -322,9 +334,10 @@ def _send(starts: list, blob: bytes, off: np.ndarray, ids: np.ndarray, p: int, b
         table = np.stack([order, place[at, 1], place[at, 2]]).astype("<u4")
         owner = np.array([best[i] for i in part], "<i8")
         head = np.array([anchor[i] for i in part], np.uint64)
-        rows.append((k, p, 2, b"".join([kept[i][1] for i in part]), sizes.tobytes() + pack48(head), owner.tobytes(), table.tobytes()))
+        body = squeeze(b"".join([kept[i][1] for i in part]))
+        rows.append((k, p, 2, body, squeeze(sizes.tobytes() + pack48(head)), squeeze(owner.tobytes()), squeeze(table.tobytes())))
     if marks:
-        rows.append((p % buckets, p, 3, np.array(marks, "<u4").T.tobytes(), None, None, None))
+        rows.append((p % buckets, p, 3, squeeze(np.array(marks, "<u4").T.tobytes()), None, None, None))
     return _rows(rows)
 
 
@@ -347,14 +360,15 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((key, r[1], 3, r[3], None, None, None))
                 tables.append(None)
                 continue
-            n = len(r[5]) // 8
-            sizes = np.frombuffer(r[4], "<u2", n)
-            heads = unpack48(r[4][2 * n :]).tolist()
-            owner = np.frombuffer(r[5], "<i8").tolist()
+            body, heading, owners, places = (expand(x) for x in r[3:7])
+            n = len(owners) // 8
+            sizes = np.frombuffer(heading, "<u2", n)
+            heads = unpack48(heading[2 * n :]).tolist()
+            owner = np.frombuffer(owners, "<i8").tolist()
             ends = np.cumsum(sizes.astype(np.int64)).tolist()
             a = 0
             for j in range(n):
-                s = (heads[j], r[3][a : ends[j]])
+                s = (heads[j], body[a : ends[j]])
                 a = ends[j]
                 k = number.setdefault(s, len(segments))
                 if k == len(segments):
@@ -363,7 +377,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 elif owner[j] < least[k]:
                     least[k] = owner[j]
                 seen.append((k, owner[j], i, j))
-            table = np.frombuffer(r[6], "<u4").reshape(3, -1).astype(np.int64)
+            table = np.frombuffer(places, "<u4").reshape(3, -1).astype(np.int64)
             tables.append((table, np.searchsorted(table[0], np.arange(n + 1))))
         windows: dict[int, np.ndarray] = {}
         head = np.array([h for h, _ in segments], np.uint64)
@@ -399,7 +413,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for d, at in zip(*table[1:, cut[j] : cut[j + 1]].tolist(), strict=True) if runs else ():
                 marks.setdefault(rows[i][1], []).extend((d, at + x, y - x) for x, y in runs)
         for p, found in marks.items():
-            out.append((key, p, 3, np.array(found, "<u4").T.tobytes(), None, None, None))
+            out.append((key, p, 3, squeeze(np.array(found, "<u4").T.tobytes()), None, None, None))
         if out:
             yield from _rows(out).to_batches()
 
@@ -409,7 +423,7 @@ def _cut(key: tuple, docs: pa.Table, marks: pa.Table) -> pa.Table:
     n = int(off[-1])
     change = np.zeros(n + 1, np.int32)
     for m in marks.column("a").to_pylist() if marks.num_rows else ():
-        d, s, w = np.frombuffer(m, "<u4").reshape(3, -1).astype(np.int64)
+        d, s, w = np.frombuffer(expand(m), "<u4").reshape(3, -1).astype(np.int64)
         np.add.at(change, off[d] + s, 1)
         np.add.at(change, off[d] + s + w + WINDOW - 1, -1)
     gone = np.cumsum(change[:n]) > 0
