@@ -11,6 +11,7 @@ order of the id); every document is scored where it lies, over its whole text.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ BITS = 20
 PREFIXES = (4, 5, 6, 7)
 FACTORS = 4
 #: Labelled rows that the fit uses at most.
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: Terms of fewer sampled rows are not used.
 LEAST_ROWS = 5
 #: Terms whose share of rows differs between the labels by fewer standard errors are not used.
@@ -63,12 +64,15 @@ def terms(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Machine:
+    """``terms``: the hashed terms in use, in order; weights and latent vectors are theirs."""
+
+    terms: np.ndarray
     bias: float
     weight: np.ndarray
     latent: np.ndarray
 
     def raw(self, row: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Each row's score before the logistic function, and its sums of latent vectors."""
+        """Each row's score before the logistic function, and its sums of latent vectors; ``term`` are places in ``terms``."""
         out = np.full(n, self.bias, np.float64)
         out += np.bincount(row, weights=self.weight[term], minlength=n)
         sums = np.empty((n, self.latent.shape[1]))
@@ -79,14 +83,16 @@ class Machine:
         return out, sums
 
     def score(self, row: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.raw(row, term, n)[0], -30, 30)))
+        at = np.searchsorted(self.terms, term)
+        used = np.append(self.terms, -1)[at] == term
+        return 1 / (1 + np.exp(-np.clip(self.raw(row[used], at[used], n)[0], -30, 30)))
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, seed: int = 7) -> Machine:
     """Logistic loss by AdaGrad over shuffled small batches; without labels of both kinds a constant."""
     rng = np.random.default_rng(seed)
     size = 1 << bits
-    m = Machine(-30.0, np.zeros(size), np.zeros((size, factors)))
+    m = Machine(np.empty(0, np.int64), -30.0, np.zeros(0), np.zeros((0, factors)))
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         m.bias = 30.0 if share else -30.0
@@ -99,8 +105,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
     error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / (n - n1)))
     z = (toxic / n1 - (total - toxic) / (n - n1)) / error
     seen = (total >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z)
-    rows = [r[seen[r]] for r in rows]
-    m.latent[seen] = rng.normal(0, 0.01, (int(seen.sum()), factors))
+    m.terms = np.flatnonzero(seen)
+    size = len(m.terms)
+    place = np.cumsum(seen) - 1
+    rows = [place[r[seen[r]]] for r in rows]
+    m.weight, m.latent = np.zeros(size), rng.normal(0, 0.01, (size, factors))
     gw, gv, gb = np.full(size, 1e-6), np.full((size, factors), 1e-6), 1e-6
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
@@ -149,11 +158,11 @@ def learn(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     got = rows.mapInArrow(run, "terms array<int>, toxic int").toArrow()
     lists = got.column("terms").combine_chunks()
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    flat, cut = lists.values.to_numpy().astype(np.int64), lists.offsets.to_numpy()
+    flat, cut = lists.values.to_numpy(), lists.offsets.to_numpy()
     each = [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
     y = got.column("toxic").to_numpy().astype(np.float64)
     # Spark's order of rows may vary; the fit must not
-    order = sorted(range(len(each)), key=lambda i: (each[i].tobytes(), y[i]))
+    order = sorted(range(len(each)), key=lambda i: (zlib.crc32(each[i]), len(each[i]), y[i]))
     return fit([each[i] for i in order], y[order])
 
 
