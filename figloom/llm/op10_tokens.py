@@ -25,7 +25,7 @@ END_ID = 0
 #: Bytes of a row group and a page, and rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 5_000
 #: Texts taken at once by the encoder, in bytes of Arrow data.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def vocabulary(name: str) -> str:
