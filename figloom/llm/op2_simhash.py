@@ -135,7 +135,7 @@ def trie_join(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, max_bits: int) ->
             (a0, am, b0, bm, err, slice(None)),
             (am, a1, bm, b1, err, slice(None)),
             (a0, am, bm, b1, err + 1, slice(None)),
-            (b0, bm, am, a1, err + 1, ~self_),
+            (am, a1, b0, bm, err + 1, ~self_),  # a stays the lower node
         ]
         frame = [np.concatenate([x[k][x[5]] for x in next_]) for k in range(5)]
         keep = (frame[4] <= max_bits) & (frame[1] > frame[0]) & (frame[3] > frame[2])

@@ -134,6 +134,39 @@ def test_trie_join_finds_all(count):
     assert all(any((int(u[i]) ^ int(u[j])) & m == 0 for m in masks) for i, j in want)
 
 
+def dense_cluster(n, seed=6):
+    """Distinct fingerprints of a few flipped bits around one centre, sorted."""
+    rng = np.random.default_rng(seed)
+    centre, out = int(rng.integers(0, 2**63)), set()
+    while len(out) < n:
+        x = centre
+        for bit in rng.choice(64, rng.integers(1, 5), replace=False):
+            x ^= 1 << int(bit)
+        out.add(x)
+    return np.array(sorted(out), np.uint64)
+
+
+def near_pairs(u, bits):
+    return {(i, int(j) + i + 1) for i in range(len(u)) for j in np.flatnonzero(np.bitwise_count(u[i + 1 :] ^ u[i]) <= bits)}
+
+
+def test_trie_join_of_a_dense_cluster():
+    u = dense_cluster(2000)
+    got = [np.stack(p, 1) for p in op2_simhash.trie_join(u, np.array([0]), np.array([len(u)]), 4)]
+    found = [tuple(x) for x in np.concatenate(got).tolist()]
+    assert len(found) == len(set(found)) and set(found) == near_pairs(u, 4)
+
+
+def test_components_of_dense_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    u = np.unique(np.concatenate([dense_cluster(1500), rng.integers(0, 2**63, 100, dtype=np.uint64)]))
+    fps = spark.createDataFrame([(i, int(x)) for i, x in enumerate(u.view(np.int64))], "doc_id long, fp long")
+    monkeypatch.setattr(op2_simhash, "fingerprints", lambda df, *_: df)
+    got = sorted(tuple(r) for r in op2_simhash.simhash_components(fps).select("doc_id", "component_id").collect())
+    root = op2_simhash.forest(len(u), [np.array(sorted(near_pairs(u, 4))).T])
+    assert got == list(enumerate(root.tolist()))
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100)], "a long, b long")
     got = dict(tuple(r) for r in op2_simhash.components(edges).collect())
