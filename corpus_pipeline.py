@@ -5,8 +5,9 @@ kept, and returns a DataFrame; all but the last return the columns of docs.
 
 1. toxicity: documents that the factorization machine rejects go (score 0.5 or more).
 2. exact dedup: of equal texts the largest id stays, as in op5.
-3. SimHash near-dedup: of documents linked as in op2 (directly or over others) the smallest
-   id stays.  Rows that share an id are one document here.
+3. near-dedup: of documents whose 5-word shingles have a Jaccard similarity of 0.8 or more
+   (directly or over others) the smallest id stays.  Candidates come from an exact prefix filter,
+   not from SimHash, which loses pairs at that similarity.  Rows that share an id are one document here.
 4. decontamination: documents in which a benchmark item is found go.
 5. packing: one row per piece of a document, as in op9.
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figloom.llm.common import NULL_ID, documents, materialise, whole_text
-from figloom.llm.op2_simhash import simhash_components
+from figloom.llm.near_copies import near_components
 from figloom.llm.op3_decontaminate import decontaminate
 from figloom.llm.op5_exact import exact_dedup
 from figloom.llm.op8_toxicity import toxicity
@@ -45,7 +46,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash_components(docs)
+    found = near_components(docs)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = kept.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")).distinct()
     keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID)))

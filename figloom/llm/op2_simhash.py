@@ -232,6 +232,16 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def label(fps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of ``fps``; ``nodes`` has each fp's smallest id ``rep``."""
+    roots = components(edges)
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left")
+    placed = placed.select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    ids = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    by_fp = placed.join(ids, "root").select(F.col("fp").alias("_f"), "component_id")
+    return fps.join(by_fp, F.col("fp") == F.col("_f")).select("doc_id", "fp", "component_id")
+
+
 def simhash_components(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -247,12 +257,7 @@ def simhash_components(
     """
     fps = materialise(fingerprints(df, id_col, text_col, words), "fingerprints")
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    roots = components(links(nodes.select("fp"), masks_for(nodes.count(), max_bits), max_bits))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left")
-    placed = placed.select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    ids = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = placed.join(ids, "root").select(F.col("fp").alias("_f"), "component_id")
-    return fps.join(by_fp, F.col("fp") == F.col("_f")).select("doc_id", "fp", "component_id")
+    return label(fps, nodes, links(nodes.select("fp"), masks_for(nodes.count(), max_bits), max_bits))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ import corpus_pipeline
 from figloom.llm import op9_packing as B
 from figloom.llm import op10_tokens as T
 from figloom.llm.fast_tokens import FastEncoder
+from figloom.llm.near_copies import near_components
+from figloom.llm.op2_simhash import fingerprint_texts
 
 EDGE = ["", "'s", "foo's bar", "\"'s 're", "a  b", "a \n b", "  lead", "trail  ", "\n\n x", "12ab'LL 'll34", "ΑΣ ΣΑ Σ", "é É", "'''s", "日本語 123",
         " x \u3000y", "\t\tq", "I'll we've", "' s", "a\x00b", "½ ²", "🙂🙂a", "x" * 3000, " " * 500, "İ", "<|endoftext|> x", "a\x1cb\x85c"]
@@ -131,3 +133,33 @@ def test_pipeline(spark, tmp_path):
         out = stage(spark, empty, str(tmp_path))
         assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
     assert F
+
+
+def test_near_copies(spark):
+    g = random.Random(12)
+    word = lambda: "".join(g.choice("abcdefghij") for _ in range(g.randint(2, 7)))
+    passage = [word() for _ in range(60)]
+    texts = [None, "", " \n", "a b", "A  b", "a b c", "a b c d e", "a b c d e f"]
+    for k in range(50):
+        base = [word() for _ in range(g.randint(5, 150))] + (passage if k % 3 == 0 else [])
+        texts.append(" ".join(base))
+        for _ in range(g.randint(0, 6)):
+            other = list(base)
+            for _ in range(g.randint(0, 1 + len(base) // 25)):
+                other[g.randrange(len(other))] = word()
+            texts.append(" ".join(other))
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    far = sum(bin(int(a) ^ int(b)).count("1") > 4 for a, b in (fingerprint_texts([texts[i] or "", texts[j] or ""]) for i, j in pairs))
+    assert far > 20
+    rows = list(enumerate(texts))
+    g.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in near_components(df).collect()) == list(enumerate(root))
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    assert kept == {i for i, r in enumerate(root) if i == r}
