@@ -13,9 +13,12 @@ text lies.  No document moves.
   per block of items (sums of block maxima plus the block's largest
   optional share) discard blocks, then exact partial sums discard items.
 * What is left is scored in full.  A passage at or above the threshold is
-  kept if it holds 0.8 of the item's 5-word shingles, and 0.8 of the words of its
-  question and of its answer each, so a changed word in a short answer
-  does not hide a leak, and a question alone is none.
+  kept if it holds (a) 0.8 of the item's 5-word shingles, and of the words of its
+  question and of its answer each; an item without a question mark or with an
+  answer of under five words is judged as a whole; or (b) 0.9 of the shingles; or
+  (c) all of an item of five words or more but what one changed, cut or added
+  word can take: five of its shingles and two of its pairs of neighbouring words.
+  So a question without a long answer is none, unless it is nearly the whole item.
 
 A passage is a window of twice the longest item's words, moved by half, so a whole
 item always lies within one.
@@ -40,6 +43,8 @@ from .op10_tokens import steps
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.8
+#: Share of an item's shingles that is a leak whatever is missing, and distinct words below which an answer is not judged alone.
+HIGH, SHORT = 0.9, 5
 WORDS = 5
 #: Items of an index that is sent to executors, and of a block of its postings.
 INDEX_ITEMS, BLOCK = 20_000, 16
@@ -92,6 +97,8 @@ class Index:
     whole: list[np.ndarray]
     question: list[np.ndarray]
     answer: list[np.ndarray]
+    pairs: list[np.ndarray]
+    as_whole: list[bool]
     share: list[tuple[np.ndarray, np.ndarray]]
     optional: np.ndarray
     terms: np.ndarray
@@ -115,7 +122,7 @@ def build(
     ``common`` counts terms in some documents: the commoner ones become optional
     first.  It changes the speed only, never the result.
     """
-    items, lengths, whole, question, answer, share = [], [], [], [], [], []
+    items, lengths, whole, question, answer, pairs, as_whole, share = [], [], [], [], [], [], [], []
     for item, text in rows:
         h = words_of([text])[1]
         if not len(h):
@@ -130,6 +137,8 @@ def build(
         whole.append(np.unique(shingles(h, words)))
         question.append(np.unique(q if len(q) else h))
         answer.append(np.unique(a if len(a) else h))
+        pairs.append(np.unique(shingles(h, 2)))
+        as_whole.append("?" not in question_and_answer(text)[0] or len(answer[-1]) < SHORT)
         share.append((term, gain / gain.sum()))
     optional = np.zeros(len(items))
     essential: list[tuple[int, int, float]] = []
@@ -167,7 +176,7 @@ def build(
     bitmap[(terms >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
     step = max([32, *(len(words_of([text])[1]) for _, text in rows)])
     return Index(
-        items, lengths, whole, question, answer, share, optional, terms, (off, i, g), (block_off, i[first] // BLOCK, top),
+        items, lengths, whole, question, answer, pairs, as_whole, share, optional, terms, (off, i, g), (block_off, i[first] // BLOCK, top),
         block_optional, bitmap, step, threshold, overlap, words,
     )
 
@@ -230,7 +239,10 @@ def query(index: Index, texts: list[str]) -> list[tuple[int, int, float, float,
         size = min(index.words, index.lengths[i])
         found = [(index.whole[i], shingles(own_words, size)), (index.question[i], own_words), (index.answer[i], own_words)]
         over = [float(np.isin(x, y).mean()) for x, y in found]
-        if min(over) >= index.overlap:
+        leak = over[0] >= index.overlap and (index.as_whole[i] or min(over) >= index.overlap) or over[0] >= HIGH
+        if not leak and index.lengths[i] >= 5 and (~np.isin(*found[0])).sum() <= index.words:
+            leak = (~np.isin(index.pairs[i], shingles(own_words, 2))).sum() <= 2  # one edit
+        if leak:
             best[text, i] = max(best.get((text, i), (0.0,) * 4), (score, *over))
     return [(t, i, *v) for (t, i), v in sorted(best.items())]
 

@@ -53,6 +53,34 @@ def test_wand_equals_exhaustive_search():
     assert got == want and len(want) > 25
 
 
+def found_in(items, docs):
+    count, length = Counter(), 0
+    for _, t in items:
+        h = D.words_of([t])[1]
+        count.update(np.unique(h).tolist())
+        length += len(h)
+    index = D.build(items, count, len(items), length / len(items))
+    return {(t, index.items[i]) for t, i, *_ in D.query(index, docs)}
+
+
+def test_one_word_edits_do_not_hide_a_leak():
+    shapes = [(15, ". ", 1), (20, ". ", 3), (12, ". ", 12), (14, "? ", 1), (14, "? ", 8), (3, "? ", 20), (40, "? ", 6), (9, ". ", 2)]
+    items = [(i, f"{passage(a)}{mark}{passage(b)}.") for i, (a, mark, b) in enumerate(shapes)]
+    docs, want = [], set()
+    for i, t in items:
+        w = t.split()
+        for k in range(len(w)):
+            end = "?" if w[k].endswith("?") else ""
+            for new in (["zzqx" + end], [], ["zzqx", w[k]]):
+                if new or not end:  # a question keeps its mark
+                    want.add((len(docs), i))
+                    docs.append(f"{passage(60)} {' '.join(w[:k] + new + w[k + 1 :])} {passage(60)}")
+    clean = len(docs)
+    docs += [passage(200), items[4][1].split("?")[0], items[2][1].split(". ")[0], " ".join(sorted(items[1][1].split()))]
+    got = found_in(items, docs)
+    assert got == want and len(want) > 300 and not [x for x in got if x[0] >= clean]
+
+
 def test_decontaminate(spark):
     leak = f"{passage(90)} {ITEMS[7][1].upper()} {passage(90)}"
     edited = ITEMS[8][1].split()
