@@ -1,13 +1,14 @@
 """Line deduplication over documents.
 
-1. A document's long lines become 128-bit keys; each document counts a key
-   once (distinct inside the row, no shuffle), and partial aggregation counts
-   documents per key before anything is exchanged.
-2. Keys of enough documents are few.  Their occurrences are range-partitioned
-   by key with a secondary sort by document and position; each partition
-   streams them and marks all but the keeping document.  A key of very many
-   documents is cut in pieces in proportion to its exact count.
-3. Decisions return as one run-length keep bitmap per document, not as text.
+1. Each long line becomes a row of its key's 128-bit hash, its document and its position.
+2. The rows are range-partitioned by hash and by block of documents, so that a line in
+   very many documents lies in many pieces, with a secondary sort by document and position.
+   Each piece is streamed: a row whose document differs from the one before is the
+   key's first occurrence in that document, and the piece's first row has its best document.
+3. The first occurrences, adjacent now, are added up per key (a piece gives one partial row):
+   documents that hold it and the document that keeps it.
+4. Streamed rows of keys of enough documents, but for the keeper's, are dropped lines.
+   They return as one run-length keep bitmap per document, not as text.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from .common import ASCII_SPACE, NULL_ID, ascii_lower, documents, materialise, w
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-#: A key's occurrences are split in pieces of about so many documents.
-PIECE = 1_000
+#: A key's occurrences are split in pieces of at most so many documents.
+PIECE = 4_096
 #: So many keys (about 32 bytes each) are broadcast; beyond, the join is by shuffle.
 BROADCAST_KEYS = 100_000
 
@@ -36,18 +37,26 @@ def _line_keys(text: Column, min_chars: int) -> Column:
 
 
 def keep_runs(drops: Column) -> Column:
-    """Run lengths (kept, dropped, kept, ...) of a sorted array of dropped positions; the last kept run is implied."""
-    start = F.struct(F.array().cast("array<int>").alias("runs"), F.lit(0).alias("at"))
+    """The keep bitmap as the line numbers where it flips, kept lines first: [from, to) of each dropped run, from sorted positions."""
+    starts = F.filter(drops, lambda p, i: (i == 0) | (F.get(drops, i - 1) < p - 1))
+    ends = F.filter(drops, lambda p, i: (i == F.size(drops) - 1) | (F.get(drops, i + 1) > p + 1))
+    return F.flatten(F.zip_with(starts, ends, lambda a, b: F.array(a, b + 1)))
 
-    def step(acc: Column, p: Column) -> Column:
-        n = F.size(acc["runs"])
-        longer = F.concat(F.slice(acc["runs"], 1, n - 1), F.array(F.element_at(acc["runs"], -1) + 1))
-        fresh = F.concat(acc["runs"], F.array(p - acc["at"], F.lit(1)))
-        return F.struct(
-            F.when((n > 0) & (p == acc["at"]), longer).otherwise(fresh).alias("runs"), (p + 1).alias("at")
-        )
 
-    return F.aggregate(drops, start, step, lambda acc: acc["runs"])
+def dropped(runs: Column) -> Column:
+    """How many lines a bitmap drops."""
+    signed = F.transform(runs, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
+    return F.aggregate(signed, F.lit(0), lambda a, x: a + x)
+
+
+def line_rows(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(_k, _id, _h, _row, _pos) of each long line; ``_row`` numbers the input rows."""
+    rows = df.select(F.coalesce(F.col(id_col), F.lit(NULL_ID)).cast("long").alias("_id"), whole_text(text_col).alias("_t"))
+    rows = rows.select(
+        "_id", F.xxhash64("_t").alias("_h"), F.monotonically_increasing_id().alias("_row"), _line_keys(F.col("_t"), min_chars).alias("_keys")
+    )
+    found = rows.select("_id", "_h", "_row", F.posexplode("_keys").alias("_pos", "_hex")).filter("_hex is not null")
+    return found.select(F.unhex("_hex").alias("_k"), "_id", "_h", "_row", "_pos")
 
 
 def line_dedup(
@@ -60,7 +69,7 @@ def line_dedup(
     piece: int = PIECE,
     broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
-    """One row per distinct (id, text hash) that loses lines: ``_id``, ``_h``, ``drops``, ``keep_runs``.
+    """One row per distinct (id, text hash) that loses lines: ``_id``, ``_h``, ``keep_runs`` (see there).
 
     A line's key is the line stripped of ASCII white space with A-Z lowered.
     Keys of at least ``min_chars`` code points in at least ``min_docs`` rows
@@ -69,65 +78,56 @@ def line_dedup(
     count as documents of their own; those with the keeping id all keep.
     """
     largest = keep == "max"
-    rows = df.select(
-        F.coalesce(F.col(id_col), F.lit(NULL_ID)).cast("long").alias("_id"), whole_text(text_col).alias("_t")
-    ).select("_id", F.xxhash64("_t").alias("_h"), _line_keys(F.col("_t"), min_chars).alias("_keys"))
-    seen = rows.select("_id", F.explode(F.array_distinct(F.filter("_keys", lambda k: k.isNotNull()))).alias("_k"))
-    heavy = (
-        seen.select("_id", F.unhex("_k").alias("_k"))
-        .groupBy("_k")
-        .agg(F.count(F.lit(1)).alias("_n"), (F.max if largest else F.min)("_id").alias("_keeper"))
-        .filter(F.col("_n") >= min_docs)
-    )
-    heavy = materialise(heavy, "lines")
-    small = heavy.count() <= broadcast_keys
-    found = rows.select("_id", "_h", F.posexplode("_keys").alias("_pos", "_hex")).filter("_hex is not null")
-    found = found.select("_id", "_h", "_pos", F.unhex("_hex").alias("_k"))
     # written once: choosing range splitters reads its input a second time
-    found = materialise(found.join(F.broadcast(heavy) if small else heavy, "_k"), "line-rows")
-    salt = F.pmod(F.xxhash64("_id"), (F.col("_n") / piece).cast("int") + 1).cast("int")
+    found = materialise(line_rows(df, id_col, text_col, min_chars), "line-rows")
     order = F.col("_id").desc() if largest else F.col("_id").asc()
+    stream = Window.partitionBy("_k", "_block").orderBy(order, "_row", "_pos")
     streamed = (
-        found.withColumn("_salt", salt)
-        .repartitionByRange("_k", "_salt")
-        .withColumn("_first", F.first("_id").over(Window.partitionBy("_k", "_salt").orderBy(order, "_pos")))
-    )
-    lost = streamed.filter((F.col("_id") != F.col("_first")) | (F.col("_first") != F.col("_keeper")))
-    drops = lost.groupBy("_id", "_h").agg(F.array_sort(F.collect_set("_pos")).alias("drops"))
-    return drops.select("_id", "_h", "drops", keep_runs(F.col("drops")).alias("keep_runs"))
-
-
-def apply_bitmap(text: Column, runs: Column) -> Column:
-    """The text's kept lines joined by line feeds."""
-    lines = F.split(text, "\n", -1)
-    starts = F.transform(runs, lambda r, i: F.aggregate(F.slice(runs, 1, i), F.lit(0), lambda a, x: a + x))
-    spans = F.filter(
-        F.arrays_zip(starts.alias("s"), runs.alias("n"), F.sequence(F.lit(1), F.size(runs)).alias("i")),
-        lambda z: z["i"] % 2 == 1,
+        found.withColumn("_block", F.expr(f"_row div {piece}"))
+        .repartitionByRange("_k", "_block")
+        .withColumn("_new", ~F.lag("_row").over(stream).eqNullSafe(F.col("_row")))
+        .withColumn("_best", F.first("_id").over(stream))
+        .select("_k", "_id", "_h", "_pos", "_new", "_best")
     )
-    used = F.aggregate(runs, F.lit(0), lambda a, x: a + x)
-    kept = F.concat(
-        F.flatten(F.transform(spans, lambda z: F.slice(lines, z["s"] + 1, z["n"]))),
-        F.slice(lines, used + 1, F.size(lines)),
-    )
-    return F.array_join(kept, "\n")
+    streamed = materialise(streamed, "line-stream")
+    firsts = streamed.filter("_new").groupBy("_k")
+    heavy = firsts.agg(F.count(F.lit(1)).alias("_n"), (F.max if largest else F.min)("_best").alias("_keeper"))
+    heavy = materialise(heavy.filter(F.col("_n") >= min_docs).select("_k", "_keeper"), "lines")
+    small = heavy.count() <= broadcast_keys
+    lost = streamed.join(F.broadcast(heavy) if small else heavy, "_k").filter("_id <> _keeper")
+    drops = lost.groupBy("_id", "_h").agg(F.array_sort(F.collect_set("_pos")).alias("_drops"))
+    return drops.select("_id", "_h", keep_runs(F.col("_drops")).alias("keep_runs"))
+
+
+def apply_bitmap(lines: Column, runs: Column) -> Column:
+    """The kept ones of ``lines`` joined by line feeds.  Both are columns, not expressions, so that they are worked out once."""
+
+    def kept(i: Column) -> Column:
+        start = F.coalesce(F.get(runs, 2 * i - 1), F.lit(0))
+        stop = F.coalesce(F.get(runs, 2 * i), F.size(lines))
+        return F.slice(lines, start + 1, stop - start)
+
+    spans = F.transform(F.sequence(F.lit(0), (F.size(runs) / 2).cast("int")), kept)
+    return F.array_join(F.flatten(spans), "\n")
 
 
 def line_dedup_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Per row: id, ``n_lines``, ``n_dropped``, ``kept_sha256`` and the bitmap ``keep_runs`` (null: all kept)."""
+    """Per row: id, ``n_lines``, ``n_dropped``, ``kept_sha256`` and the bitmap ``keep_runs`` (null: all kept).
+
+    Nulls, ties, repeated rows: see ``line_dedup``.  An empty table gives no rows; other columns are ignored.
+    """
     marks = line_dedup(df, id_col, text_col, **options)
-    rows = df.select(F.col(id_col), whole_text(text_col).alias("_t")).select(
-        id_col,
-        "_t",
+    rows = df.select(
+        F.col(id_col).alias("_own"),
+        whole_text(text_col).alias("_t"),
         F.coalesce(F.col(id_col), F.lit(NULL_ID)).cast("long").alias("_id"),
-        F.xxhash64("_t").alias("_h"),
-    )
-    out = rows.join(marks.hint("shuffle_hash"), ["_id", "_h"], "left")
-    kept = F.when(F.col("keep_runs").isNull(), F.col("_t")).otherwise(apply_bitmap(F.col("_t"), F.col("keep_runs")))
+    ).withColumn("_h", F.xxhash64("_t"))
+    out = rows.join(marks.hint("shuffle_hash"), ["_id", "_h"], "left").withColumn("_lines", F.split("_t", "\n", -1))
+    kept = F.when(F.col("keep_runs").isNull(), F.col("_t")).otherwise(apply_bitmap(F.col("_lines"), F.col("keep_runs")))
     return out.select(
-        id_col,
-        F.size(F.split("_t", "\n", -1)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.col("_own").alias(id_col),
+        F.size("_lines").cast("long").alias("n_lines"),
+        F.coalesce(dropped(F.col("keep_runs")), F.lit(0)).cast("long").alias("n_dropped"),
         F.sha2(kept, 256).alias("kept_sha256"),
         "keep_runs",
     )

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from figloom.llm import op1_suffix, op2_simhash, op5_exact, op6_lines
@@ -217,3 +219,42 @@ def test_lines(spark):
         got = op6_lines.line_dedup_digest(df, keep="max", **options).drop("keep_runs")
         assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
     assert op6_lines.line_dedup_digest(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_exact_tells_texts_of_equal_hashes_apart(docs, keep):
+    """All hashes and heads agree, every group is cut in pieces: whole texts decide."""
+    rows, df = docs
+    got = op5_exact.exact_dedup(df, keep=keep, salts=3, piece=1, head=0, tie=lambda t: F.length(t) * 0).collect()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(hashlib.sha256((t or "").encode()).hexdigest(), []).append(i)
+    assert len(got) == len(rows)
+    for r in got:
+        known = [i for i in groups[r["text_sha256"]] if i is not None]
+        best = (min if keep == "min" else max)(known) if known else None
+        assert (r["keep_id"], r["group_size"]) == (best, len(groups[r["text_sha256"]]))
+    assert sum(r["kept"] for r in got) == len(groups)
+
+
+def test_exact_compares_neighbours_in_one_piece(spark):
+    rows = [(i, "same head " * 40 + str(i % 7)) for i in range(700)] + [(None, "x"), (None, "x"), (3, "x"), (3, "x")]
+    df = spark.createDataFrame([(i, t, 1, "a", "b") for i, t in rows], "doc_id long, text string, _t int, _run string, _first string")
+    for piece in (10, 10_000):
+        got = op5_exact.exact_dedup(df, keep="max", piece=piece).collect()
+        assert len(got) == 704 and sum(r["kept"] for r in got) == 8
+        assert {(r["keep_id"], r["group_size"]) for r in got} == {(693 + k, 100) for k in range(7)} | {(3, 4)}
+
+
+def test_bitmap_of_a_very_long_text(spark):
+    """Linear in lines and runs: 150,000 lines, half of them dropped in runs of one."""
+    line = "a line that is long enough to be counted as boilerplate"
+    texts = [(i, "\n".join(f"{line} {k}" if k % 2 else f"{i}" for k in range(150_000 if i == 0 else 20_000))) for i in range(6)]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in texts], "doc_id long, text string, _k int, n_lines int")
+    began = time.time()
+    got = {r["doc_id"]: r for r in op6_lines.line_dedup_digest(df, keep="max").collect()}
+    assert time.time() - began < 60
+    assert got[0]["n_dropped"] == 10_000 and got[5]["n_dropped"] == 0 and got[5]["keep_runs"] is None
+    kept = "\n".join(f"{line} {k}" if k % 2 else "0" for k in range(150_000) if k % 2 == 0 or k >= 20_000)
+    assert got[0]["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest()
+    assert got[0]["keep_runs"][:4] == [1, 2, 3, 4] and len(got[0]["keep_runs"]) == 20_000
