@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, whole_text
-from .op2_simhash import _expand, components, label
+from .op2_simhash import components, label
 from .op3_decontaminate import shingles
 from .op10_tokens import steps
 
@@ -120,6 +120,15 @@ def in_groups(df: DataFrame, run: Callable[..., Iterator[pa.RecordBatch]], schem
     return df.repartition("h").sortWithinPartitions("h", "n", "fp").mapInArrow(each, schema)
 
 
+def _expand(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs of the ranges [a0, a1) x [b0, b1)."""
+    nb = b1 - b0
+    n = (a1 - a0) * nb
+    owner = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    return a0[owner] + k // nb[owner], b0[owner] + k % nb[owner]
+
+
 def _starts(h: np.ndarray) -> np.ndarray:
     """For each row the first row of its group."""
     new = np.concatenate([[True], h[1:] != h[:-1]])

@@ -8,7 +8,7 @@
    differs from its neighbour; its first row has the identifier that stays.
    Hashes only place rows: texts whose hashes agree are still told apart.
 3. A text of very many copies is cut in pieces of about ``piece`` rows, known by a count per
-   hash.  Each piece sends its first row, and those rows are compared in full again over the pieces.
+   hash (the BROADCAST_ROWS commonest ones: any other has few of all rows).  Each piece sends its first row, and those rows are compared in full again over the pieces.
 
 A text moves once.  Rows of other texts need no second exchange.
 """
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import documents, materialise
 
 #: Characters of a splitter, and rows of a piece.
-HEAD, PIECE = 256, 10_000
-#: So many small rows are broadcast; beyond, the join is by shuffle.
+HEAD, PIECE = 256, 1_000
+#: Texts that are cut at most, and so many small rows are broadcast; beyond, a join is by shuffle.
 BROADCAST_ROWS = 100_000
 
 
@@ -53,8 +53,8 @@ def exact_dedup(
     rows = rows.withColumns({"_head": F.substring("_t", 1, head), "_tie": tie(F.col("_t"))})
 
     hot = rows.groupBy(F.col("_tie").alias("_h")).agg(F.count(F.lit(1)).alias("_copies")).filter(F.col("_copies") > piece)
-    hot = materialise(hot, "hot-texts")
-    rows = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, F.col("_tie") == F.col("_h"), "left")
+    hot = materialise(hot.orderBy(F.desc("_copies"), "_h").limit(BROADCAST_ROWS), "hot-texts")
+    rows = rows.join(F.broadcast(hot), F.col("_tie") == F.col("_h"), "left")
     pieces = F.greatest(F.lit(salts), F.expr(f"_copies div {piece} + 1"))
     rows = rows.withColumn("_p", F.when(F.col("_copies").isNull(), 0).otherwise(F.pmod(F.xxhash64("_id"), pieces)))
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -117,7 +118,11 @@ def test_simhash(docs, spark):
     assert op2_simhash.simhash_components(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("count", [1, 10**9, 10**12])
+def whole(u, **options):
+    return op2_simhash.trie_join(u, tuple(np.array([x]) for x in (0, len(u), 0, len(u))), 4, **options)
+
+
+@pytest.mark.parametrize("count", [1, 10**8, 10**12])
 def test_trie_join_finds_all(count):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
@@ -129,11 +134,43 @@ def test_trie_join_finds_all(count):
                 x ^= 1 << int(bit)
             fps.append(x)
     u = np.unique(np.array(fps, np.uint64))
-    want = {(i, j) for i in range(len(u)) for j in range(i + 1, len(u)) if bin(int(u[i]) ^ int(u[j])).count("1") <= 4}
-    whole = {(int(a), int(b)) for i, j in op2_simhash.trie_join(u, np.array([0]), np.array([len(u)]), 4) for a, b in zip(i, j)}
-    assert whole == want and want
-    masks = op2_simhash.masks_for(count)
-    assert all(any((int(u[i]) ^ int(u[j])) & m == 0 for m in masks) for i, j in want)
+    want = {(int(u[i]), int(u[j])) for i in range(len(u)) for j in range(i + 1, len(u)) if bin(int(u[i]) ^ int(u[j])).count("1") <= 4}
+    pairs = [(int(u[a]), int(u[b])) for i, j in whole(u) for a, b in zip(i, j)]
+    assert set(pairs) == want and len(pairs) == len(want) > 0
+    found, tables = set(), op2_simhash.tables_for(count)
+    for t in tables:
+        assert sum(w for _, w in t.blocks) == 64
+        p = t.permute(u)
+        assert (np.bitwise_count(p[1:] ^ p[:-1]) == np.bitwise_count(u[1:] ^ u[:-1])).all()
+        back = u[np.argsort(p)]
+        for i, j in whole(np.sort(p), lead=t.lead, budget=t.budget):
+            found |= {(min(int(back[a]), int(back[b])), max(int(back[a]), int(back[b]))) for a, b in zip(i, j)}
+    assert found == want and (len(tables), tables[0].budget) == {1: (3, 1), 10**8: (10, 1), 10**12: (70, 0)}[count]
+
+
+def test_the_budget_prunes():
+    """Of random fingerprints, the descent compares few pairs and prunes the others on the way, in each trie."""
+    u = np.unique(np.random.default_rng(5).integers(0, 2**64, 4000, dtype=np.uint64))
+    for t in op2_simhash.tables_for(len(u)):
+        stats = Counter()
+        assert not list(whole(np.sort(t.permute(u)), lead=t.lead, budget=t.budget, stats=stats))
+        assert stats["pruned"] > 10_000 and stats["leaf pairs"] < 4000 * 3999 / 2 / 50
+
+
+def test_cells_and_their_pairs():
+    rng = np.random.default_rng(8)
+    u = np.sort(np.concatenate([rng.integers(0, 2**64, 3000, dtype=np.uint64), dense_cluster(1000)]))
+    top = (u >> np.uint64(48)).astype(np.int64)
+    cells = op2_simhash.cells_of(np.bincount(top, minlength=1 << 16), 100)
+    of = {}
+    for (depth, prefix), c in cells.items():
+        for k in np.flatnonzero(top >> (16 - depth) == prefix):
+            of[int(k)] = c
+    assert sorted(of) == list(range(len(u))) and sorted(of.values()) == [of[k] for k in range(len(u))]
+    pairs = op2_simhash.cell_pairs(cells, 1)
+    assert len(pairs) == len(set(pairs)) and all(a <= b for a, b in pairs)
+    want = {(of[i], of[j]) for i in range(len(u)) for j in (i + np.flatnonzero(np.bitwise_count(top[i:] ^ top[i]) <= 1)).tolist()}
+    assert want <= set(pairs)
 
 
 def dense_cluster(n, seed=6):
@@ -154,7 +191,7 @@ def near_pairs(u, bits):
 
 def test_trie_join_of_a_dense_cluster():
     u = dense_cluster(2000)
-    got = [np.stack(p, 1) for p in op2_simhash.trie_join(u, np.array([0]), np.array([len(u)]), 4)]
+    got = [np.stack(p, 1) for p in whole(u)]
     found = [tuple(x) for x in np.concatenate(got).tolist()]
     assert len(found) == len(set(found)) and set(found) == near_pairs(u, 4)
 
@@ -165,8 +202,19 @@ def test_components_of_dense_fingerprints(spark, monkeypatch):
     fps = spark.createDataFrame([(i, int(x)) for i, x in enumerate(u.view(np.int64))], "doc_id long, fp long")
     monkeypatch.setattr(op2_simhash, "fingerprints", lambda df, *_: df)
     got = sorted(tuple(r) for r in op2_simhash.simhash_components(fps).select("doc_id", "component_id").collect())
-    root = op2_simhash.forest(len(u), [np.array(sorted(near_pairs(u, 4))).T])
-    assert got == list(enumerate(root.tolist()))
+    forest = op2_simhash.Forest(len(u))
+    forest.link(*np.array(sorted(near_pairs(u, 4))).T)
+    assert got == list(enumerate(forest.root.tolist()))
+    # small cells, so that links cross them
+    nodes = fps.select("fp")
+    for size in (50, 100_000):
+        edges = op2_simhash.links(nodes, len(u), 4, size)
+        roots = dict(tuple(r) for r in op2_simhash.components(edges).collect())
+        of = {}
+        for i, r in enumerate(forest.root.tolist()):
+            of.setdefault(r, set()).add(int(u.view(np.int64)[i]))
+        for group in of.values():
+            assert {roots.get(x, x) for x in group} == {min(group)}
 
 
 def test_components_of_a_chain(spark):
