@@ -3,8 +3,11 @@
 Labelled page outcomes (bad or not) are counted per host.  A beta-binomial prior
 is passed down from all pages to the suffix, the registered domain and the host: each level's
 prior mean is its parent's posterior mean, its weight comes from the spread
-between the level's units (method of moments).  A host is blocked where the
-lower posterior bound of its share of bad pages exceeds a limit.
+between the level's units (method of moments).  So a host without labelled pages
+has its domain's reputation, and a domain without any its suffix's.  A host is blocked where
+the lower posterior bound of its share of bad pages exceeds a limit: the share
+of bad pages among all labelled ones, unless another is given.  So only hosts that are
+credibly worse than the whole are blocked.
 """
 
 from __future__ import annotations
@@ -34,8 +37,13 @@ RULES = (
     Rule("block", "example.com", "/de/"),
     Rule("allow", "org", "/fr/"),
 )
-#: Standard deviations below the mean, and the share of bad pages tolerated there.
-Z, MAX_BAD = 1.645, 0.25
+#: Standard deviations of the posterior bound below the mean.
+Z = 1.645
+#: Suffixes of two labels under which names are registered (a choice; give your own list).
+SUFFIXES = (
+    "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx",
+    "com.tr", "com.tw", "edu.au", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.br", "org.uk",
+)
 #: Bounds of a prior's weight in pages.
 LEAST_WEIGHT, MOST_WEIGHT = 1.0, 10_000.0
 #: So many hosts are broadcast; beyond, the join is by shuffle (adaptive execution splits a hot host).
@@ -86,27 +94,38 @@ def _level(units: DataFrame, prior: str) -> DataFrame:
     ).drop("_w")
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """From (host, bad 0/1) rows: host, domain, suffix, k, n and the posterior's ``a``, ``b``.
+def registered(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host without its port.  An address of digits is its own domain, with suffix ``ip``."""
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    ip = name.rlike(r"^[0-9.]+$")
+    two = F.substring_index(name, ".", -2).isin(*suffixes) if suffixes else F.lit(False)
+    domain = F.when(ip, name).when(two, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    suffix = F.when(ip, F.lit("ip")).when(two, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+    return domain, suffix
 
-    The registered domain is a host's last two labels, the suffix its last.
-    A null outcome counts as unlabelled.  An empty table gives no rows.
+
+def host_reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """From (host, bad 0/1 or null) rows: host, domain, suffix, k, n and the posterior's ``a``, ``b``; ``base`` is the share of all.
+
+    A null outcome counts as unlabelled (such a host has n = 0).  Without any outcome the posteriors
+    are of share zero and ``base`` is null.  An empty table gives no rows.
     """
-    label = F.split("host", r"\.")
-    hosts = outcomes.filter("bad is not null").groupBy("host").agg(
-        F.sum(F.col("bad").cast("long")).alias("k"), F.count(F.lit(1)).alias("n")
+    hosts = outcomes.groupBy("host").agg(
+        F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).cast("long").alias("k"), F.count("bad").alias("n")
     )
-    hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.element_at(label, -1))
+    domain, suffix = registered(F.col("host"), suffixes)
+    hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
     hosts = materialise(hosts, "hosts")
     add = [F.sum("k").alias("k"), F.sum("n").alias("n")]
     suffixes = hosts.groupBy("suffix").agg(*add)
     domains = hosts.groupBy("domain", "suffix").agg(*add)
-    everything = suffixes.agg((F.sum("k") / F.sum("n")).alias("_m"))  # one row
+    everything = suffixes.agg((F.sum("k") / F.nullif(F.sum("n"), F.lit(0))).alias("_m"))  # one row
     suffixes = _level(suffixes.crossJoin(F.broadcast(everything)), "_m")
     suffixes = suffixes.select("suffix", (F.col("a") / (F.col("a") + F.col("b"))).alias("_m"))
     domains = _level(domains.join(suffixes, "suffix"), "_m")
     domains = domains.select("domain", (F.col("a") / (F.col("a") + F.col("b"))).alias("_m"))
-    return _level(hosts.join(domains, "domain"), "_m").drop("_m")
+    out = _level(hosts.join(domains, "domain"), "_m").drop("_m")
+    return out.crossJoin(F.broadcast(everything.select(F.col("_m").alias("base"))))
 
 
 def judge_urls(
@@ -114,25 +133,28 @@ def judge_urls(
     outcomes: DataFrame,
     rules: tuple[Rule, ...] = RULES,
     z: float = Z,
-    max_bad: float = MAX_BAD,
+    max_bad: float | None = None,
     broadcast_hosts: int = BROADCAST_HOSTS,
+    suffixes: tuple[str, ...] = SUFFIXES,
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, lower_bound.
 
     ``outcomes`` has page_id and bad (0/1 or null); several rows of one page
-    count each.  A host without labelled pages is allowed unless a rule says
-    otherwise.  Null urls give an empty host and path; page ids may be null or repeat.
+    count each.  ``max_bad`` is the share of bad pages that is tolerated (None: the share among all
+    labelled pages; without labels every page is allowed that no rule blocks).  Null urls give an empty host and
+    path; page ids may be null or repeat; other columns are ignored; an empty table gives no rows.
     """
     url = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    seen = url.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id")
-    hosts = materialise(host_reputation(seen), "reputation")
+    seen = url.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id", "left")
+    hosts = materialise(host_reputation(seen, suffixes), "reputation")
     mean = F.col("a") / (F.col("a") + F.col("b"))
     sd = F.sqrt(mean * (1 - mean) / (F.col("a") + F.col("b") + 1))
-    hosts = hosts.select("host", (mean - z * sd).alias("lower_bound"))
+    limit = F.col("base") if max_bad is None else F.lit(max_bad)
+    hosts = hosts.select("host", (mean - z * sd).alias("lower_bound"), limit.alias("limit"))
     small = hosts.count() <= broadcast_hosts
     out = url.join(F.broadcast(hosts) if small else hosts, "host", "left")
     rule = rule_of(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("lower_bound") > max_bad, "block").otherwise("allow")
+    own = F.when(F.col("lower_bound") > F.col("limit"), "block").otherwise("allow")
     out = out.withColumn("_r", rule)
     return out.select(
         "page_id",
@@ -162,7 +184,7 @@ def _oracle() -> str:
   SELECT p, s1, CASE WHEN between_ > 0 THEN least({MOST_WEIGHT}, greatest({LEAST_WEIGHT}, p * (1 - p) / between_ - 1)) ELSE {MOST_WEIGHT} END AS w
   FROM (SELECT p, s1, (q - p * p * s1 - p * (1 - p) * (j - 1)) / nullif(greatest(s1 - s2 / s1, 0), 0) AS between_
         FROM (SELECT sum(k) / sum(n) AS p, CAST(sum(n) AS DOUBLE) AS s1, CAST(sum(n * n) AS DOUBLE) AS s2, count(*) AS j,
-                     sum(k * k / n) AS q FROM {source}))
+                     sum(k * k / n) AS q FROM {source} WHERE n > 0))
 ), {name} AS (SELECT s.*, w * m + k AS a, w * (1 - m) + n - k AS b FROM {source} s, {name}_t)"""
 
     fits = "\n".join(
@@ -174,10 +196,16 @@ WITH u AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)
+), n AS (
+  SELECT host, CAST(coalesce(sum(CAST(quality = 0 OR toxic = 1 AS INTEGER)), 0) AS BIGINT) AS k,
+         count(quality = 0 OR toxic = 1) AS n, regexp_replace(host, ':[0-9]*$', '') AS name
+  FROM u LEFT JOIN labels ON page_id = doc_id GROUP BY host
+), l AS (
+  SELECT *, string_split(name, '.') AS part, regexp_matches(name, '^[0-9.]+$') AS ip,
+         array_to_string(string_split(name, '.')[-2:], '.') IN ({", ".join(f"'{x}'" for x in SUFFIXES)}) AS two FROM n
 ), h AS (
-  SELECT host, CAST(sum(CAST(quality = 0 OR toxic = 1 AS INTEGER)) AS BIGINT) AS k, count(*) AS n,
-         array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
-  FROM u JOIN labels ON page_id = doc_id WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY host
+  SELECT host, k, n, CASE WHEN ip THEN name WHEN two THEN array_to_string(part[-3:], '.') ELSE array_to_string(part[-2:], '.') END AS domain,
+         CASE WHEN ip THEN 'ip' WHEN two THEN array_to_string(part[-2:], '.') ELSE part[-1] END AS suffix FROM l
 ), s0 AS (
   SELECT suffix, CAST(sum(k) AS BIGINT) AS k, CAST(sum(n) AS BIGINT) AS n, (SELECT sum(k) / sum(n) FROM h) AS m FROM h GROUP BY suffix
 ), {level("s1", "s0")}, d0 AS (
@@ -193,7 +221,7 @@ WITH u AS (
     END AS hit FROM (SELECT u.*, bound FROM u LEFT JOIN lb ON u.host = lb.host)
 )
 SELECT page_id, host, path, string_split(hit, ' ')[1] AS rule,
-       coalesce(string_split(hit, ' ')[2], CASE WHEN bound > {MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(string_split(hit, ' ')[2], CASE WHEN bound > (SELECT sum(k) / sum(n) FROM h) THEN 'block' ELSE 'allow' END) AS verdict
 FROM r
 """
 
