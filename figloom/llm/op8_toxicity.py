@@ -7,6 +7,8 @@ than either), which the latent vectors give in linear time.
 
 The machine is fitted on a bounded sample of labelled rows (``sample``, by hash
 order of the id); every document is scored where it lies, over its whole text.
+Terms enter it by evidence, their own or that of a pair: two terms that say nothing
+each but much together (or whose company turns what one says) both get latent vectors.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import documents, whole_text
+from .common import documents, unused, whole_text
 from .fast_tokens import LETTER, _classes, spans_hash
 from .op10_tokens import steps
 
@@ -31,8 +34,10 @@ FACTORS = 4
 SAMPLE = 10_000
 #: Terms of fewer sampled rows are not used.
 LEAST_ROWS = 5
-#: Terms whose share of rows differs between the labels by fewer standard errors are not used.
+#: Terms, or pairs, whose share of rows differs between the labels by fewer standard errors are not used.
 LEAST_Z = 4.0
+#: The commonest terms whose pairs are tried, the pair's least evidence, and by how much it must exceed either term's.
+PAIR_TERMS, PAIR_Z, PAIR_GAIN = 1_000, 7.0, 3.0
 EPOCHS, BATCH, RATE, DECAY = 20, 128, 0.1, 1e-4
 
 
@@ -88,6 +93,42 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(row[used], at[used], n)[0], -30, 30)))
 
 
+def evidence(total: np.ndarray, toxic: np.ndarray, n: int, n1: float) -> np.ndarray:
+    """By how many standard errors the shares of rows that have something differ between the labels."""
+    p = total / n
+    error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / (n - n1)))
+    return (toxic / n1 - (total - toxic) / (n - n1)) / error
+
+
+def chosen_terms(rows: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
+    """Which of the hashed terms the machine uses."""
+    total = np.bincount(np.concatenate(rows), minlength=size)
+    toxic = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y]), minlength=size)
+    n, n1 = len(labels), float(labels.sum())
+    z = np.abs(evidence(total, toxic, n, n1))
+    seen = (total >= LEAST_ROWS) & (z >= LEAST_Z)
+    # pairs of the commonest terms (those of nearly all rows have no pairs of their own)
+    common = np.flatnonzero((total >= LEAST_ROWS) & (total <= 0.9 * n))
+    common = np.sort(common[np.argsort(-total[common], kind="stable")[:PAIR_TERMS]])
+    place = np.full(size, -1)
+    place[common] = np.arange(len(common))
+    both, both_toxic = np.zeros((2, len(common), len(common)))
+    for k in range(0, n, 1024):
+        own = [place[r] for r in rows[k : k + 1024]]
+        x = np.zeros((len(own), len(common)), np.float32)
+        for i, r in enumerate(own):
+            x[i, r[r >= 0]] = 1
+        both += x.T @ x
+        bad = x[labels[k : k + 1024] > 0]
+        both_toxic += bad.T @ bad
+    zz = np.abs(evidence(both, both_toxic, n, n1))
+    own = z[common]
+    strong = (both >= 4 * LEAST_ROWS) & (zz >= PAIR_Z) & (zz >= np.maximum(own[:, None], own) + PAIR_GAIN)
+    np.fill_diagonal(strong, False)
+    seen[common[strong.any(0)]] = True
+    return seen
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, seed: int = 7) -> Machine:
     """Logistic loss by AdaGrad over shuffled small batches; without labels of both kinds a constant."""
     rng = np.random.default_rng(seed)
@@ -98,13 +139,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
         m.bias = 30.0 if share else -30.0
         return m
     m.bias = float(np.log(share / (1 - share)))
-    total = np.bincount(np.concatenate(rows), minlength=size)
-    toxic = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y]), minlength=size)
-    n, n1 = len(labels), labels.sum()
-    p = total / n
-    error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / (n - n1)))
-    z = (toxic / n1 - (total - toxic) / (n - n1)) / error
-    seen = (total >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z)
+    seen = chosen_terms(rows, labels, size)
     m.terms = np.flatnonzero(seen)
     size = len(m.terms)
     place = np.cumsum(seen) - 1
@@ -166,16 +201,11 @@ def learn(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     return fit([each[i] for i in order], y[order])
 
 
-def toxicity(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> DataFrame:
-    """All columns of ``df`` with ``held_out``, ``score`` (0 to 1) and ``predicted`` (0 or 1).
-
-    A null text counts as empty; an empty one scores by the bias.  Null labels
-    are not used.  Repeated rows are scored each.
-    """
+def scored(df: DataFrame, labels: DataFrame, into: str, sample: int = SAMPLE, text_col: str = "text") -> DataFrame:
+    """All columns of ``df``, as they are, and the score in a column ``into`` (a name that ``df`` does not have)."""
     spark = df.sparkSession
     plain = df.select(F.col("doc_id"), whole_text(text_col).alias("_text"))
     machine = spark.sparkContext.broadcast(learn(plain, labels, sample))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine.value
@@ -183,14 +213,26 @@ def toxicity(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: s
             for b in steps(whole, text_col) if whole.num_rows else ():
                 texts = [t or "" for t in b.column(text_col).to_pylist()]
                 score = m.score(*terms(texts), len(texts))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, into])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(into, DoubleType())]))
 
-    scored = df.mapInArrow(run, f"{schema}, _score double")
-    return scored.select(
-        *[F.col(f"`{c}`") for c in df.columns],
+
+def toxicity(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> DataFrame:
+    """All columns of ``df`` with ``held_out``, ``score`` (0 to 1) and ``predicted`` (0 or 1).
+
+    Columns of ``df`` that have one of these names are replaced.  A null text counts as empty; an empty one scores
+    by the bias.  Null labels are not used, nor those of null ids; several labels of one id count each.  Repeated rows
+    are scored each.  Without labels of both kinds every score is near 0 or 1 alike.  An empty table gives no rows.
+    """
+    into = unused(df, "_score")
+    out = scored(df, labels, into, sample, text_col)
+    kept = [c for c in df.columns if c.lower() not in ("held_out", "score", "predicted")]
+    return out.select(
+        *[F.col(f"`{c}`") for c in kept],
         held_out().alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+        F.col(into).alias("score"),
+        (F.col(into) >= 0.5).cast("int").alias("predicted"),
     )
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -201,3 +202,121 @@ def test_machine_learns_pairs():
     lin = [m.score(np.zeros(len(t), int), np.array(t), 1)[0] for t in ([1, 3], [2, 3], [1, 2, 3], [3])]
     assert lin[2] > 0.5 > max(lin[0], lin[1], lin[3])
     assert T.fit([], np.array([])).score(np.empty(0, int), np.empty(0, int), 1)[0] < 0.01
+
+
+def test_each_level_of_reputation_flips_a_verdict(spark):
+    g = random.Random(3)
+    pages, bad = [], []
+
+    def host(name, share, n=80):
+        for _ in range(n):
+            i = len(pages)
+            pages.append((i, f"http://{name}/{i}"))
+            if g.random() < 0.7:  # the others are held out
+                bad.append((i, int(g.random() < share)))
+
+    for k in range(6):
+        for h in ("a", "b"):
+            host(f"{h}.evil{k}.junk", 0.9)
+            host(f"{h}.fine{k}.good", 0.02)
+            host(f"{h}.shop{k}.co.uk", 0.02)
+    for h in "abc":
+        host(f"{h}.spam.good", 0.95)
+        host(f"{h}.spam.co.uk", 0.95)
+        host(f"{h}.mixed.good", 0.95 if h == "a" else 0.02)
+    fresh = ["new.unseen.junk", "new.spam.good", "new.fine1.good", "new.shop1.co.uk", "new.spam.co.uk:80", "new.mixed.good", "1.2.3.4", "1.2.3.4:80"]
+    pages += [(10_000 + i, f"http://{h}/") for i, h in enumerate(fresh)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    outcomes = spark.createDataFrame(bad, "page_id long, bad int")
+    verdict = {r["page_id"]: r["verdict"] for r in U.judge_urls(df, outcomes, rules=()).collect()}
+    # suffix, domain, domain, ..., the domain under a suffix of two labels
+    assert [verdict[10_000 + i] for i in range(5)] == ["block", "block", "allow", "allow", "block"]
+    assert verdict[10_006] == verdict[10_007] == "allow"
+    by_host = {}
+    for i, u in pages:
+        by_host.setdefault(u.split("/")[2], set()).add(verdict[i])
+    assert by_host["a.mixed.good"] == {"block"} and by_host["b.mixed.good"] == by_host["c.mixed.good"] == {"allow"}
+    # pages whose labels were held out
+    known = {i for i, _ in bad}
+    rest = [(u, verdict[i]) for i, u in pages[:-8] if i not in known]
+    right = [(v == "block") == (".junk" in u or ".spam." in u or "a.mixed" in u) for u, v in rest]
+    assert len(rest) > 500 and sum(right) / len(right) > 0.97
+    # without a list of suffixes co.uk is one domain
+    plain = {r["page_id"]: r["verdict"] for r in U.judge_urls(df, outcomes, rules=(), suffixes=()).collect()}
+    assert plain[10_004] == "allow"
+    # outcomes that say nothing about hosts block nothing
+    noise = spark.createDataFrame([(i, int(g.random() < 0.25)) for i, _ in pages], "page_id long, bad int")
+    assert U.judge_urls(df, noise, rules=()).filter("verdict = 'block'").count() <= 10
+
+
+def kinds(spark, *texts):
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id int, text string, found string, _t string")
+    got = {r["doc_id"]: [(P.KINDS[s["kind"]].name, texts[r["doc_id"]][s["start"] : s["end"]], s["score"]) for s in r["found"]] for r in P.find_pii(df).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_scores_and_added_kinds(spark):
+    token = "ffc3105535f423f352535e4ac53b5fefe076ac6d"
+    got = kinds(
+        spark,
+        f'they token = "{token}" of',
+        f'commit {token} and "{token[:19]}"',
+        f"the sha1 of the token {token}",
+        "token = abcdefghijklmnopqrstuvwxyz",
+        "pay to GB82 WEST 1234 5698 7654 32 AND more, DE89370400440532013000",
+        "GB82 WEST 1234 5698 7654 33, GB82WEST123456987654, order GB82WEST12345698765432",
+        "social security 123-45-6789, 123-45-6780, security 000-45-6789",
+        "card 4111 1111 1111 1111 host 1.2.3.4, version 1.2.3.5",
+    )
+    assert got[0] == [("secret", token, 60)] and got[1] == got[2] == got[3] == []
+    assert got[4] == [("iban", "GB82 WEST 1234 5698 7654 32", 60), ("iban", "DE89370400440532013000", 60)]
+    assert got[5] == []  # a wrong check digit, too short, and words against it
+    assert got[6] == [("ssn", "123-45-6789", 60)]
+    assert got[7] == [("card", "4111 1111 1111 1111", 90), ("ip", "1.2.3.4", 90), ("ip", "1.2.3.5", 30)]
+
+
+def test_many_matches_are_linear(spark):
+    text = "1.2.3.4 a@b.cd, " * 50_000
+    df = spark.createDataFrame([(None, text), (None, text), (1, "")], "doc_id long, text string")
+    P.find_pii(df.limit(1)).collect()
+    began = time.time()
+    got = P.find_pii(df).collect()
+    assert time.time() - began < 30
+    many = [r["found"] for r in got if r["found"]]
+    assert len(got) == 3 and len(many) == 2
+    for f in many:
+        assert len(f) == 100_000
+        assert all(text[s["start"] : s["end"]] == ("a@b.cd", "1.2.3.4")[s["kind"]] for s in f[::997])
+
+
+def test_machine_is_the_double_sum():
+    r = np.random.default_rng(3)
+    m = T.Machine(np.arange(12), 0.3, r.normal(size=12), r.normal(size=(12, 4)))
+    rows = [np.array([0, 3, 7, 11]), np.array([5]), np.array([], int), np.arange(12)]
+    term = np.concatenate(rows)
+    row = np.repeat(np.arange(4), [len(x) for x in rows])
+    for got, x in zip(m.raw(row, term, 4)[0], rows):
+        want = 0.3 + m.weight[x].sum() + sum(m.latent[i] @ m.latent[j] for i in x for j in x if i < j)
+        assert abs(got - want) < 1e-9
+
+
+def test_machine_learns_what_only_pairs_tell(spark):
+    """Toxic if exactly one of two words stands there: neither word alone says anything, and no additive score can tell."""
+    g = random.Random(21)
+
+    def doc(toxic):
+        a = g.random() < 0.5
+        b = a ^ bool(toxic)
+        w = [g.choice(WORDS[:60]) for _ in range(25)] + ["zorble"] * a + ["quaxing"] * b
+        g.shuffle(w)
+        return " ".join(w)
+
+    labels = [(i, int(g.random() < 0.4)) for i in range(3000)]
+    df = spark.createDataFrame([(i, doc(y), "x", 7, "h") for i, y in labels], "doc_id long, text string, score string, predicted int, _score string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = T.toxicity(df, known)
+    assert out.columns == ["doc_id", "text", "_score", "held_out", "score", "predicted"]
+    truth = dict(labels)
+    held = [r for r in out.collect() if r["held_out"]]
+    assert len(held) > 400 and {r["_score"] for r in held} == {"h"}
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) / len(held) > 0.9
