@@ -14,6 +14,7 @@ import re
 import unicodedata
 
 import numpy as np
+from xxhash import xxh64_intdigest
 
 #: A chunk is so many code points, or one text.
 CHUNK = 1_000_000
@@ -23,6 +24,8 @@ MAX_WORDS = 800_000
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
 SPACE, LETTER, NUMBER, OTHER = range(4)
+#: Words of more code points are told apart by XXH64.
+LONG_WORD = 100
 
 _tables: dict = {}
 
@@ -74,7 +77,6 @@ class FastEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
@@ -84,6 +86,7 @@ class FastEncoder:
             self.mode = "byte"
         elif kinds == ["Split", "ByteLevel"] and [x.get("type") for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.mode = "word"
+        self.added = [x["content"] for x in spec.get("added_tokens", [])]
         vocab = spec["model"]["vocab"]
         self.newline = vocab.get("Ċ")
         self.is_end = np.zeros(max(vocab.values()) + 1, bool)
@@ -103,18 +106,27 @@ class FastEncoder:
             got = [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
             return np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got], np.int64)
         flats, counts, chunk, size = [], [], [], 0
-        for t in texts:
-            if chunk and size + len(t) > CHUNK:
+
+        def flush() -> None:
+            nonlocal chunk, size
+            if chunk:
                 a, b = self._chunk(chunk)
                 flats.append(a)
                 counts.append(b)
-                chunk, size = [], 0
+            chunk, size = [], 0
+
+        for t in texts:
+            if any(x in t for x in self.added):  # the library cuts such a text at its added tokens
+                flush()
+                ids = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
+                flats.append(ids)
+                counts.append(np.array([len(ids)], np.int64))
+                continue
+            if size + len(t) > CHUNK:
+                flush()
             chunk.append(t)
             size += len(t)
-        if chunk:
-            a, b = self._chunk(chunk)
-            flats.append(a)
-            counts.append(b)
+        flush()
         return (np.concatenate(flats), np.concatenate(counts)) if flats else (np.empty(0, np.uint32), np.empty(0, np.int64))
 
     def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +173,8 @@ class FastEncoder:
             solid = cls[s] != SPACE
             s, e = s[solid], e[solid]
         h = spans_hash(code, mix, s, e)
+        for i in np.flatnonzero(e - s > LONG_WORD).tolist():  # the sums' modulus has known collisions of long words
+            h[i] = xxh64_intdigest(joined[s[i] : e[i]].encode("utf-8", "surrogatepass"), 42)
         uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         slot = self._slots(uniq, first, joined, s, e)[inverse]
         length = self.len[slot]

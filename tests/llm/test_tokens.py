@@ -17,13 +17,11 @@ from figloom.llm.near_copies import near_components
 from figloom.llm.op2_simhash import fingerprint_texts
 
 EDGE = ["", "'s", "foo's bar", "\"'s 're", "a  b", "a \n b", "  lead", "trail  ", "\n\n x", "12ab'LL 'll34", "ΑΣ ΣΑ Σ", "é É", "'''s", "日本語 123",
-        " x \u3000y", "\t\tq", "I'll we've", "' s", "a\x00b", "½ ²", "🙂🙂a", "x" * 3000, " " * 500, "İ", "<|endoftext|> x", "a\x1cb\x85c"]
+        " x \u3000y", "\t\tq", "I'll we've", "' s", "a\x00b", "½ ²", "🙂🙂a", "x" * 3000, " " * 500, "İ", "<|endoftext|> x", "a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|>", "x" * 150 + "yx" * 80, "a\x1cb\x85c"]
 
 
 def reference(name):
-    t = Tokenizer.from_file(path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path(name))
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
