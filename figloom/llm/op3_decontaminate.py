@@ -1,17 +1,21 @@
 """Benchmark decontamination: BM25 over test items, block-max WAND, then overlap.
 
-The index holds test items only.  It is built on the driver block by block
-(``block_items`` items at a time, statistics over all items), sent to the
-executors, and every passage of every document is a query, answered where the
-text lies.  No document moves.
-
+The index holds test items only.  Their statistics (documents per term, number and mean length of
+all items) are counted by Spark; the index is built block by block (``block_items`` items
+at a time, so the driver holds one block), sent to the executors, and every passage of
+every document is a query, answered where the text lies.  No document moves.  One pass over
+the text serves PASS_BLOCKS blocks.
+
+* A passage is a window of words, moved by half, that belongs to an item's length: twice
+  the least power of two (32 at least) that is not below it.  So an item always lies
+  whole within a passage, and what is found does not depend on the other items.
 * A score is BM25 divided by the item's score for itself, so one threshold
   serves all items.
-* WAND: the commonest terms of an item, of shares that sum to a part of the
-  threshold are optional.  A passage without any other term of an item cannot
-  reach it, so only postings of the other (essential) terms are read.  Bounds
-  per block of items (sums of block maxima plus the block's largest
-  optional share) discard blocks, then exact partial sums discard items.
+* WAND, for all passages of a batch at once instead of by one cursor: the commonest
+  terms of an item, of shares that sum to a part of the threshold are optional.  A passage
+  without any other term of an item cannot reach it, so only postings of the other (essential)
+  terms are read.  Bounds per block of postings (sums of block maxima plus the block's largest
+  optional share) skip blocks, then exact partial sums skip items.  These skips change no result.
 * What is left is scored in full.  A passage at or above the threshold is
   kept if it holds (a) 0.8 of the item's 5-word shingles, and of the words of its
   question and of its answer each; an item without a question mark or with an
@@ -19,15 +23,11 @@ text lies.  No document moves.
   (c) all of an item of five words or more but what one changed, cut or added
   word can take: five of its shingles and two of its pairs of neighbouring words.
   So a question without a long answer is none, unless it is nearly the whole item.
-
-A passage is a window of twice the longest item's words, moved by half, so a whole
-item always lies within one.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, whole_text
+from .common import documents, materialise, whole_text
 from .fast_tokens import SPACE, OTHER, _classes, spans_hash
 from .op10_tokens import steps
 
@@ -48,6 +48,10 @@ HIGH, SHORT = 0.9, 5
 WORDS = 5
 #: Items of an index that is sent to executors, and of a block of its postings.
 INDEX_ITEMS, BLOCK = 20_000, 16
+#: Blocks of items that one pass over the text serves.
+PASS_BLOCKS = 4
+#: Words by which the passages for the shortest items move.
+LEAST_STEP = 32
 MAP_BITS = 22
 
 
@@ -90,6 +94,11 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return text, text
 
 
+def length_class(words: int) -> int:
+    """The step of the passages for an item of so many words."""
+    return max(LEAST_STEP, 1 << max(0, words - 1).bit_length())
+
+
 @dataclass
 class Index:
     items: list
@@ -113,15 +122,10 @@ class Index:
 
 
 def build(
-    rows: list[tuple[object, str]], df_of: Counter, n_items: int, mean_len: float,
-    threshold: float = THRESHOLD, overlap: float = OVERLAP, words: int = WORDS, common: Counter | None = None,
-    optional_share: float = 0.7,
+    rows: list[tuple[object, str]], df_of: dict[int, int], n_items: int, mean_len: float,
+    threshold: float = THRESHOLD, overlap: float = OVERLAP, words: int = WORDS, optional_share: float = 0.7,
 ) -> Index:
-    """The index of (item id, text) rows; ``df_of`` counts items per term over all blocks.
-
-    ``common`` counts terms in some documents: the commoner ones become optional
-    first.  It changes the speed only, never the result.
-    """
+    """The index of (item id, text) rows of one length class; ``df_of`` counts items per term over all blocks."""
     items, lengths, whole, question, answer, pairs, as_whole, share = [], [], [], [], [], [], [], []
     for item, text in rows:
         h = words_of([text])[1]
@@ -144,14 +148,14 @@ def build(
     essential: list[tuple[int, int, float]] = []
     vocabulary = np.unique(np.concatenate([t for t, _ in share])) if share else np.empty(0, np.uint64)
     needed = np.zeros(len(vocabulary), bool)
-    rank = np.array([((common or df_of)[int(t)], df_of[int(t)]) for t in vocabulary]).reshape(-1, 2)
+    rank = np.array([df_of[int(t)] for t in vocabulary], np.int64)
     left = np.full(len(items), threshold * optional_share)
     holders: dict[int, list[tuple[int, float]]] = {}
     for i, (term, gain) in enumerate(share):
         for t, g in zip(np.searchsorted(vocabulary, term).tolist(), gain.tolist(), strict=True):
             holders.setdefault(t, []).append((i, g))
     # the commonest terms first: a term is optional for all its items or for none
-    for t in np.lexsort((-rank[:, 1], -rank[:, 0])).tolist():
+    for t in np.argsort(-rank, kind="stable").tolist():
         if all(optional[i] + g < left[i] for i, g in holders[t]):
             for i, g in holders[t]:
                 optional[i] += g
@@ -174,7 +178,7 @@ def build(
     block_optional = np.array([optional[k * BLOCK : (k + 1) * BLOCK].max() for k in range(blocks)])
     bitmap = np.zeros(1 << MAP_BITS, bool)
     bitmap[(terms >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
-    step = max([32, *(len(words_of([text])[1]) for _, text in rows)])
+    step = max(length_class(n) for n in [0, *lengths])
     return Index(
         items, lengths, whole, question, answer, pairs, as_whole, share, optional, terms, (off, i, g), (block_off, i[first] // BLOCK, top),
         block_optional, bitmap, step, threshold, overlap, words,
@@ -190,10 +194,14 @@ def _spread(off: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def query(index: Index, texts: list[str]) -> list[tuple[int, int, float, float, float, float]]:
     """(text number, item number, score, overlap of item, question and answer), the best passage of each pair."""
-    row, h = words_of(texts)
+    return search(index, *words_of(texts), len(texts))
+
+
+def search(index: Index, row: np.ndarray, h: np.ndarray, n_texts: int) -> list[tuple[int, int, float, float, float, float]]:
+    """``query`` for texts whose words are given."""
     if not len(h) or not len(index.terms):
         return []
-    begin = np.searchsorted(row, np.arange(len(texts) + 1))
+    begin = np.searchsorted(row, np.arange(n_texts + 1))
     seg = (np.arange(len(h)) - begin[row]) // index.step
     last = np.maximum((np.diff(begin) - 1) // index.step - 1, 0)  # the last window of each text
     base = np.cumsum(last + 1) - (last + 1)  # its first window's number
@@ -247,42 +255,59 @@ def query(index: Index, texts: list[str]) -> list[tuple[int, int, float, float,
     return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
+def item_rows(items: DataFrame) -> DataFrame:
+    """(item_id, text, words, step, known): an item's length in words, its class and its (term, items that have it) pairs; items without words go."""
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in steps(whole, "text") if whole.num_rows else ():
+                row, h = words_of(b.column("text").to_pylist())
+                cut = np.searchsorted(row, np.arange(b.num_rows + 1))
+                each = [np.unique(h[x:y]).view(np.int64) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]).astype(np.int32)), pa.array(np.concatenate(each)))
+                n = np.diff(cut).astype(np.int32)
+                step = np.array([length_class(x) for x in n.tolist()], np.int32)
+                cols = [*b.columns, pa.array(n), pa.array(step), lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["item_id", "text", "words", "step", "terms"])
+
+    found = rows.mapInArrow(run, "item_id bigint, text string, words int, step int, terms array<bigint>").filter("words > 0")
+    found = materialise(found.withColumn("n", F.monotonically_increasing_id()), "items")
+    each = found.select("n", F.explode("terms").alias("term"))
+    count = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    known = each.join(count, "term").groupBy("n").agg(F.collect_list(F.struct("term", "df")).alias("known"))
+    return materialise(found.join(known, "n").select("item_id", "text", "words", "step", "known"), "item-terms")
+
+
 def indexes(items: DataFrame, block_items: int = INDEX_ITEMS, **options) -> Iterator[Index]:
-    """The test items' indexes, ``block_items`` at a time; the driver holds one block and the items' term counts."""
-    rows = items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).orderBy("item_id", "text")
-
-    def blocks() -> Iterator[list[tuple[object, str]]]:
-        part: list[tuple[object, str]] = []
-        for r in rows.toLocalIterator():
-            part.append((r[0], r[1]))
-            if len(part) == block_items:
-                yield part
-                part = []
-        if part:
-            yield part
-
-    df_of: Counter = Counter()
-    count, length = 0, 0
-    for part in blocks():
-        for _, text in part:
-            h = words_of([text])[1]
-            df_of.update(np.unique(h).tolist())
-            count += bool(len(h))
-            length += len(h)
-    if count:
-        for part in blocks():
-            yield build(part, df_of, count, length / count, **options)
-
-
-#: Documents whose words tell which terms are common (for speed only).
-SCOUTS = 2_000
-
-
-def common_terms(df: DataFrame, text_col: str = "text", count: int = SCOUTS) -> Counter:
-    out: Counter = Counter()
-    for r in df.select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 4000).alias("t")).limit(count).collect():
-        out.update(np.unique(words_of([r[0]])[1]).tolist())
-    return out
+    """The test items' indexes, ``block_items`` of one length class at a time; the driver holds one block."""
+    rows = item_rows(items)
+    count, length = rows.agg(F.count(F.lit(1)), F.sum("words")).first()
+    part: list = []
+    for r in rows.orderBy("step", "item_id", "text").toLocalIterator():
+        if part and (len(part) == block_items or r["step"] != part[-1]["step"]):
+            yield _built(part, count, length / count, options)
+            part = []
+        part.append(r)
+    if part:
+        yield _built(part, count, length / count, options)
+
+
+def _built(part: list, count: int, mean_len: float, options: dict) -> Index:
+    df_of = {x["term"] % 2**64: x["df"] for r in part for x in r["known"]}
+    return build([(r["item_id"], r["text"]) for r in part], df_of, count, mean_len, **options)
+
+
+def passes(spark: SparkSession, items: DataFrame, **options) -> Iterator[list]:
+    """Broadcast indexes, in the groups that one pass over the text serves."""
+    held: list = []
+    for built in indexes(items, **options):
+        held.append(spark.sparkContext.broadcast(built))
+        if len(held) == PASS_BLOCKS:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 PAIRS = "doc_id bigint, item_id bigint, score double, overlap double, question_overlap double, answer_overlap double"
@@ -292,42 +317,48 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """One row per document row and test item found in it: ids, score, overlap, question_overlap, answer_overlap.
 
     Null or empty texts and items match nothing.  Null ids are reported as
-    null; repeated rows are reported each; without items the result is empty.
+    null; repeated rows (documents or items) are reported each; of several passages with an item the best counts (ties
+    are equal in all that is returned); without items or documents the result is empty; other columns are ignored.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("_text"))
     out = spark.createDataFrame([], PAIRS)
-    for built in indexes(items, common=common_terms(df, text_col), **options):
-        shared = spark.sparkContext.broadcast(built)
+    for group in passes(spark, items, **options):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            ids = pa.array(index.items, pa.int64())
+        def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for b in steps(whole, "_text") if whole.num_rows else ():
-                    found = query(index, b.column("_text").to_pylist())
-                    if found:
-                        text, item, *scores = (list(x) for x in zip(*found, strict=True))
-                        cols = [b.column("doc_id").take(pa.array(text)), ids.take(pa.array(item)), *map(pa.array, scores)]
-                        yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in PAIRS.split(", ")])
+                    words = words_of(b.column("_text").to_pylist())
+                    for shared in group:
+                        index = shared.value
+                        found = search(index, *words, b.num_rows)
+                        if found:
+                            text, item, *scores = (list(x) for x in zip(*found, strict=True))
+                            ids = pa.array([index.items[i] for i in item], pa.int64())
+                            cols = [b.column("doc_id").take(pa.array(text)), ids, *map(pa.array, scores)]
+                            yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in PAIRS.split(", ")])
 
         out = out.unionByName(rows.mapInArrow(run, PAIRS))
     return out
 
 
 def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` in which no test item is found, with all their columns."""
+    """The rows of ``df`` in which no test item is found, with all their columns.
+
+    Rows are judged each on its own text: repeated rows, and rows with null ids, stay or go alike.  Null or empty
+    texts stay, null or empty items find nothing; without items all rows stay; an empty table gives no rows.
+    """
     spark = df.sparkSession
     schema = df.schema
-    for built in indexes(items, common=common_terms(df, text_col), **options):
-        shared = spark.sparkContext.broadcast(built)
+    for group in passes(spark, items, **options):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for b in steps(whole, text_col) if whole.num_rows else ():
-                    found = query(shared.value, [t or "" for t in b.column(text_col).to_pylist()])
+                    words = words_of([t or "" for t in b.column(text_col).to_pylist()])
                     keep = np.ones(b.num_rows, bool)
-                    keep[[x[0] for x in found]] = False
+                    for shared in group:
+                        keep[[x[0] for x in search(shared.value, *words, b.num_rows)]] = False
                     yield b.filter(pa.array(keep))
 
         df = df.mapInArrow(run, schema)
