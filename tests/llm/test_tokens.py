@@ -6,7 +6,6 @@ import zlib
 import numpy as np
 import pytest
 from public_tokenizers import path
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -116,21 +115,32 @@ def test_pipeline(spark, tmp_path):
     rows = [(i, ("vileness " if i % 4 == 0 else "") + text(60)) for i in range(400)]
     labels = [(i, int(i % 4 == 0)) for i in range(400)]
     clean = {i for i in range(400) if i % 4}
-    near = rows[1][1] + " " + words[0]
+    near = rows[2][1] + " " + words[0]  # one more shingle: near, and of a larger id
     planted = [(1000, rows[1][1]), (1001, "vileness " + text(50)), (1002, f"{text(40)} {item} {text(40)}"), (None, text(50)), (1003, None)]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows + planted], "doc_id long, text string, lang string, source string, n_chars long")
+    planted += [(1004, near), (None, rows[3][1]), (1000, rows[1][1]), (1005, "\n")]
+    # columns whose names the stages' own ones could clash with
+    clash = ["_id", "_sha", "_h", "score", "predicted", "held_out", "_score", "_row_text", "row", "id", "sha", "fp", "component_id", "_text", "_t"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *[f"{c}{i}" for c in clash]) for i, t in rows + planted], schema)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, y) for i, y in labels], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    assert near and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "decontamination", "packing"]
-    got = {r[0] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
-    # of the equal texts 1 and 1000 the larger id stays
-    assert got == (clean - {1}) | {1000, None, 1003}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "decontamination", "packing"]
+    got = [r[0] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()]
+    # of the equal texts 1 and 1000 the larger id stays, once; of the near ones 2 and 1004 the smaller; the null id loses to 3
+    # the null text is equal to none in the second stage, but near to the one without words in the third
+    assert len(got) == len(set(got)) and set(got) == (clean - {1}) | {1000, None, 1003}
+    # each stage on its own input: its decisions and the other columns
+    gone = [{i for i in range(400) if i % 4 == 0} | {1001}, {1}, {1000, 1004, 1005}, {1002}]
+    for (name, stage), away in zip(corpus_pipeline.STAGES[:-1], gone):
+        out = stage(spark, docs, str(tmp_path))
+        found = out.collect()
+        assert out.columns == docs.columns and all(r[c] == f"{c}{r['doc_id']}" for r in found for c in clash), name
+        assert {r["doc_id"] for r in found} == {i for i, _ in rows + planted} - away, name
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, empty, str(tmp_path))
         assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
-    assert F
 
 
 def test_near_copies(spark):
