@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .encode import same
 
 ITEM = (
     "DOI string, title array<string>, `container-title` array<string>, "
@@ -38,8 +40,9 @@ def doi_key(c: Column | str = "doi") -> Column:
 
 
 def enrich(records: DataFrame, extra: DataFrame, pmc_prefix: str = "") -> DataFrame:
-    """Left join on the key; no match gives nulls and closed access.  The extra side has at most one row per key."""
-    e = extra.withColumn("_key", doi_key()).drop("doi").dropDuplicates(["_key"])
+    """Left join on the key; no match gives nulls and closed access.  Of several matches the least row (by its columns in order) counts."""
+    e = extra.withColumn("_key", doi_key()).drop("doi")
+    e = e.groupBy("_key").agg(F.min(F.struct(*[c for c in e.columns if c != "_key"])).alias("_e")).select("_key", "_e.*")
     out = records.withColumn("_key", doi_key()).join(e, "_key", "left")
     return out.select(
         "doi", "title", "journal", "year", "url", "pmcid",
@@ -69,20 +72,20 @@ def merge_first(existing: DataFrame, new: DataFrame, key: Column, order: str, dr
     both = existing.withColumn("_src", F.lit(0)).unionByName(new.withColumn("_src", F.lit(1)), allowMissingColumns=True)
     both = both.withColumn("_key", key)
     known = F.nullif(F.col("_key"), F.lit("")).isNotNull()
-    w = Window.partitionBy("_key").orderBy("_src", order)
-    first = both.filter(known).withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+    keep = F.struct(*[F.col(f"`{c}`") for c in both.columns])
+    first = both.filter(known).groupBy("_key").agg(F.min_by(keep, F.struct("_src", order)).alias("_row")).select("_row.*")
     out = first if drop_unkeyed else first.unionByName(both.filter(~known))
     return out.drop("_src", "_key")
 
 
 def insert_absent(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Existing rows, and new ones whose key is absent; existing rows are never changed."""
-    return existing.unionByName(new.join(existing.select(key).distinct(), key, "left_anti").select(*existing.columns))
+    return existing.unionByName(new.join(existing.select(key), key, "left_anti").select(*existing.columns))
 
 
 def unprocessed(records: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
     """Records whose key is not in the ledger."""
-    return records.join(ledger.select(key).distinct(), key, "left_anti")
+    return records.join(ledger.select(key), key, "left_anti")
 
 
 def schedule(records: DataFrame, order: str = "year_desc", limit: int = 0, row: str = "_row_idx") -> DataFrame:
@@ -111,10 +114,42 @@ def stop_after_empty(figures: DataFrame, article: str, number: str, found: str,
     return rows.withColumn("_x", stopped).filter(F.coalesce("_x", F.lit(0)) == 0).drop("_i", "_s", "_x")
 
 
+#: A file name's ending.
+ENDING = r"(\.[^./\\]*)$"
+
+
 def unique_names(df: DataFrame, name: str, order: str, out: str = "unique_name") -> DataFrame:
-    """Names with _2, _3, ... for repeats in any case."""
-    n = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(order))
-    return df.withColumn(out, F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), n)))
+    """Names that differ in any case, given in row order: a taken one gets _2, _3, ... before its ending until it is free.
+
+    Names can only meet within a family (the name without numbers it ends in).  In a family of one name the
+    n-th takes _n; the few families with several names are worked through in order, each as a whole.
+    """
+    rows = df.withColumn("_low", F.lower(F.col(name)))
+    stem = F.regexp_replace(F.col("_low"), ENDING, "")
+    rows = rows.withColumn("_family", F.concat_ws("\0", F.regexp_replace(stem, r"(_[0-9]+)+$", ""), F.regexp_extract("_low", ENDING, 1)))
+    mixed = rows.groupBy("_family").agg((F.min("_low") != F.max("_low")).alias("_mixed"))
+    rows = rows.join(mixed, same([rows["_family"]], [mixed["_family"]])).drop(mixed["_family"]).drop("_low")
+    n = F.row_number().over(Window.partitionBy("_family").orderBy(order))
+    bare, ending = F.regexp_replace(name, ENDING, ""), F.regexp_extract(name, ENDING, 1)
+    plain = rows.filter("not _mixed or _mixed is null").withColumn(out, F.when((n == 1) | F.col(name).isNull(), F.col(name)).otherwise(F.concat(bare, F.lit("_"), n, ending)))
+
+    def allot(group):
+        group = group.sort_values(order, kind="stable")
+        used: set[str] = set()
+        names = []
+        for whole in group[name]:
+            found = re.search(ENDING, whole)
+            head, tail = (whole[: found.start()], found.group()) if found else (whole, "")
+            k, attempt = 2, whole
+            while attempt.lower() in used:
+                attempt, k = f"{head}_{k}{tail}", k + 1
+            used.add(attempt.lower())
+            names.append(attempt)
+        return group.assign(**{out: names}).drop(columns=["_family", "_mixed"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` string"
+    several = rows.filter("_mixed").groupBy("_family").applyInPandas(allot, schema)
+    return plain.drop("_family", "_mixed").unionByName(several)
 
 
 def keyword_product(base: DataFrame, left: DataFrame, right: DataFrame, most: int = 500) -> DataFrame:

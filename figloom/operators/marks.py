@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from .encode import collapse, dense_grid
+from .encode import bounded, collapse, dense_grid
+from .stats import quantiles
 
 
 def bar(df: DataFrame, x: str, y: str, ratio: bool = False) -> DataFrame:
@@ -64,7 +65,7 @@ def points(df: DataFrame, columns: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def line(df: DataFrame, x: str, y: str, group: str | None = None, ratio: bool = False) -> DataFrame:
-    """One value per x and series, in drawing order."""
+    """One value per x and series (``encode.drawing_order`` sorts rows as they are drawn)."""
     keys = [x] if group is None else [group, x]
     return collapse(df.filter(V.number(y).isNotNull()), keys, y, ratio, "value")
 
@@ -123,8 +124,9 @@ def box(df: DataFrame, y: str, category: str | None = None) -> DataFrame:
     """Exact quartiles, whiskers (extreme values within 1.5 quartile ranges) and the count outside them."""
     keys = [category] if category else []
     rows = df.select(*keys, V.number(y).alias("v")).filter("v is not null")
-    q = rows.groupBy(*keys).agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*keys, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "med", "q3"))])
+    q = quantiles(rows, "v", (0.25, 0.5, 0.75), keys, ("q1", "med", "q3"))
+    small = bounded(q)
+    q = small if small is not None else q
     if category:
         k = q.withColumnRenamed(category, "_k")
         joined = rows.join(k, F.col(category).eqNullSafe(F.col("_k"))).drop("_k")
@@ -139,20 +141,36 @@ def box(df: DataFrame, y: str, category: str | None = None) -> DataFrame:
     )
 
 
-def violin(df: DataFrame, y: str, category: str | None = None, grid: int = 50) -> DataFrame:
-    """Gaussian density on an even grid (Scott's bandwidth), per category.
+#: Distinct values of a category up to which a density takes each; beyond, values go to so many even bins.
+DENSITY_BINS = 4_096
 
-    Values are first counted, so the work is distinct values times grid points.
+
+def violin(df: DataFrame, y: str, category: str | None = None, grid: int = 50, bins: int = DENSITY_BINS) -> DataFrame:
+    """Gaussian density on an even grid (Scott's bandwidth), per category (a null category is left out).
+
+    The work is at most ``bins`` values times grid points a category: where a category has more distinct values
+    (by a sketch), each value is shared out between its two neighbouring bins in proportion.
     """
     keys = [category] if category else []
     rows = df.select(*keys, V.number(y).alias("v")).filter("v is not null")
-    counted = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    mean = F.sum(F.col("v") * F.col("n")) / F.sum("n")
-    spread = F.sqrt((F.sum(F.col("v") * F.col("v") * F.col("n")) - F.sum("n") * mean * mean) / (F.sum("n") - 1))
-    s = counted.groupBy(*keys).agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"), spread.alias("sd")
+    s = rows.groupBy(*keys).agg(
+        F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("total"), F.stddev_samp("v").alias("sd"),
+        F.approx_count_distinct("v", 0.01).alias("kinds"),
     )
     s = s.filter("total > 1 and sd > 0").withColumn("h", F.col("sd") * F.pow(F.col("total"), -0.2))
+    small = bounded(s)
+    s = small if small is not None else s
+    placed = rows.join(s, keys[0]) if keys else rows.crossJoin(F.broadcast(s))
+    step = (F.col("hi") - F.col("lo")) / (bins - 1)
+    place = (F.col("v") - F.col("lo")) / step
+    below = F.floor(place)
+    shared = F.array(
+        F.struct((F.col("lo") + below * step).alias("v"), (1 - (place - below)).alias("w")),
+        F.struct((F.col("lo") + (below + 1) * step).alias("v"), (place - below).alias("w")),
+    )
+    own = F.array(F.struct(F.col("v").alias("v"), F.lit(1.0).alias("w")))
+    cells = placed.select(*keys, F.inline(F.when(F.col("kinds") > bins, shared).otherwise(own)))
+    counted = cells.groupBy(*keys, "v").agg(F.sum("w").alias("n"))
     at = F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i")
     s = s.select(*keys, at, "lo", "hi", "total", "h").withColumn("at", F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / (grid - 1))
     joined = counted.join(s, keys[0]) if keys else counted.crossJoin(F.broadcast(s))

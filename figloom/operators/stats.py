@@ -1,4 +1,4 @@
-"""Profiles and scalar statistics, each in a constant number of jobs."""
+"""Profiles and scalar statistics."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import values as V
+from .encode import bounded, same
 
 
 def coarse_profile(df: DataFrame) -> dict:
@@ -23,12 +24,18 @@ def _numeric(df: DataFrame) -> list[str]:
 
 
 def profile_counts(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Per column: name, non_nulls, distinct.  One pass over the table."""
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    aggs = [a for c in df.columns for a in (F.count(c).alias(f"{c}__n"), distinct(F.col(c)).alias(f"{c}__d"))]
-    one = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"{c}__n").alias("non_nulls"), F.col(f"{c}__d").alias("distinct")) for c in df.columns])
-    return one.select(F.inline(rows))
+    """Per column: name, non_nulls, distinct (by text).  One pass over the table."""
+    if not exact:
+        aggs = [a for i, c in enumerate(df.columns) for a in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}"))]
+        rows = [F.struct(F.lit(c).alias("name"), F.col(f"n{i}").alias("non_nulls"), F.col(f"d{i}").alias("distinct")) for i, c in enumerate(df.columns)]
+        return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    # one row per column and value after partial aggregation; nulls count nothing
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns])
+    values = df.select(F.inline(cells)).groupBy("name", "value").agg(F.count("value").alias("n"))
+    found = values.groupBy("name").agg(F.sum("n").alias("non_nulls"), F.count("value").alias("distinct"))
+    names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "name string")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return F.broadcast(names).join(found, "name", "left").select("name", zero("non_nulls"), zero("distinct"))
 
 
 def profile_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -99,18 +106,50 @@ def second_largest(df: DataFrame, y: str, name: str = "second") -> DataFrame:
     return top.agg(F.when(F.count(F.lit(1)) == 2, F.min("v")).alias(name))
 
 
+#: Groups of so many values are ranked whole; in larger ones, values this far (as a share) from the wanted rank are only counted.
+RANKED, MARGIN, ACCURACY = 10_000, 0.001, 10_000
+
+
+def quantiles(df: DataFrame, v: str, shares: Sequence[float], keys: Sequence[str] = (), names: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles with linear interpolation, one column each, per group (null keys are groups); values must not be null.
+
+    A first pass takes sketches of the quantiles' neighbourhoods, a second one counts the values below each and
+    ranks only those inside, so no task holds a group's values.
+    """
+    names = list(names) or [f"q{i}" for i in range(len(shares))]
+    k = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], F.col(v).alias("_v"))
+    ends = [min(1.0, max(0.0, p + d)) for p in shares for d in (-MARGIN, MARGIN)]
+    sketch = rows.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_e"))
+    sketch = sketch.toDF(*[f"_s{i}" for i in range(len(k))], "_n", "_e")
+    small = bounded(sketch)
+    near = small if small is not None else sketch
+    both = rows.join(near, same([F.col(x) for x in k], [F.col(f"_s{i}") for i in range(len(k))])) if k else rows.crossJoin(near)
+    whole = F.col("_n") <= RANKED
+    parts = F.array(*[F.struct(F.lit(j).alias("j"), F.col("_e")[2 * j].alias("lo"), F.col("_e")[2 * j + 1].alias("hi")) for j in range(len(shares))])
+    cells = both.select(*k, "_n", "_v", F.inline(parts)).filter(whole | (F.col("_v") <= F.col("hi")))
+    inside = F.when(whole | (F.col("_v") >= F.col("lo")), F.col("_v"))
+    counted = cells.groupBy(*k, "_n", "j", inside.alias("_x")).agg(F.count(F.lit(1)).alias("_m"))
+    up_to = F.sum("_m").over(Window.partitionBy(*k, "_n", "j").orderBy(F.col("_x").asc_nulls_first()))
+    p = F.element_at(F.array(*[F.lit(float(x)) for x in shares]), F.col("j") + 1)
+    at = p * (F.col("_n") - 1)
+    low = F.floor(at)
+    ranked = counted.withColumn("_up", up_to).groupBy(*k, "_n", "j").agg(
+        F.min(F.when(F.col("_up") > low, F.col("_x"))).alias("a"), F.min(F.when(F.col("_up") > F.least(low + 1, F.col("_n") - 1), F.col("_x"))).alias("b")
+    )
+    value = F.col("a") + (F.col("b") - F.col("a")) * (at - low)
+    wide = ranked.groupBy(*k).agg(*[F.max(F.when(F.col("j") == j, value)).alias(n) for j, n in enumerate(names)])
+    return wide.select(*[F.col(x).alias(c) for x, c in zip(k, keys, strict=True)], *names)
+
+
 def high_quantile(df: DataFrame, y: str) -> DataFrame:
     """One row: n, low, top, high.  ``high`` is the 0.9 quantile (0.75 under 6 values); if it is the top, the next lower value."""
     v = df.select(V.number(y).alias("v")).filter("v is not null")
-    one = v.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("v").alias("low"),
-        F.max("v").alias("top"),
-        F.percentile("v", F.array(F.lit(0.75), F.lit(0.9))).alias("q"),
-    )
-    q = F.when(F.col("n") >= 6, F.col("q")[1]).otherwise(F.col("q")[0])
-    out = one.crossJoin(second_largest(v, "v", "next"))
-    return out.select("n", "low", "top", F.when(q >= F.col("top"), F.col("next")).otherwise(q).alias("high"))
+    ends = v.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("top"))
+    under = v.crossJoin(F.broadcast(ends)).groupBy("n", "low", "top").agg(F.max(F.when(F.col("v") < F.col("top"), F.col("v"))).alias("next"))
+    one = ends.crossJoin(F.broadcast(quantiles(v, "v", (0.75, 0.9), names=("q7", "q9")))).join(F.broadcast(under.select("next")), how="left")
+    q = F.when(F.col("n") >= 6, F.col("q9")).otherwise(F.col("q7"))
+    return one.select("n", "low", "top", F.when(q >= F.col("top"), F.col("next")).otherwise(q).alias("high"))
 
 
 def fractions(df: DataFrame, y: str) -> DataFrame:
@@ -119,7 +158,7 @@ def fractions(df: DataFrame, y: str) -> DataFrame:
     share = lambda c: F.avg(F.when(v.isNotNull(), c.cast("double")))
     return df.agg(
         share(v.between(0, 1)).alias("unit"), share(v.between(0, 100)).alias("hundred"), share(v > 0).alias("positive"),
-        F.max(F.abs(v)).alias("magnitude"),
+        F.max(F.abs(v)).alias("magnitude"), F.avg(F.abs(v)).alias("mean_magnitude"),
     )
 
 

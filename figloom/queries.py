@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from .operators import marks as M
 from .operators import stats as S
 from .operators import transforms as P
 from .plans import rounds as L
+from .session import shared_folder
+from .sources import sinks as K
 from .sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -262,7 +264,7 @@ def group_mean_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return E.duplicates(table(spark, sf_dir, "events"), ["user_id", "event_type"])
 
 
 _STACK = " SELECT a AS l_returnflag, b AS l_linestatus, round(v, 2) AS height, round(coalesce(sum(v) OVER w, 0), 2) AS base FROM g WINDOW w AS (PARTITION BY a ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -403,9 +405,9 @@ def second_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.second_largest(table(spark, sf_dir, "lineitem"), "l_quantity")
 
 
-@query("SELECT round(avg(CAST(l_discount BETWEEN 0 AND 1 AS INTEGER)), 6) AS unit, round(avg(CAST(l_discount BETWEEN 0 AND 100 AS INTEGER)), 6) AS hundred, round(avg(CAST(l_discount > 0 AS INTEGER)), 6) AS positive, max(abs(l_discount)) AS magnitude FROM lineitem")
+@query("SELECT round(avg(CAST(l_discount BETWEEN 0 AND 1 AS INTEGER)), 6) AS unit, round(avg(CAST(l_discount BETWEEN 0 AND 100 AS INTEGER)), 6) AS hundred, round(avg(CAST(l_discount > 0 AS INTEGER)), 6) AS positive, max(abs(l_discount)) AS magnitude, round(avg(abs(l_discount)), 6) AS mean_magnitude FROM lineitem")
 def fraction_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.fractions(table(spark, sf_dir, "lineitem"), "l_discount"), "unit", "hundred", "positive", digits=6)
+    return rounded(S.fractions(table(spark, sf_dir, "lineitem"), "l_discount"), "unit", "hundred", "positive", "mean_magnitude", digits=6)
 
 
 @query("WITH p AS (SELECT l_discount AS v FROM lineitem UNION ALL SELECT l_tax FROM lineitem) SELECT count(*) AS n, min(v) AS low, max(v) AS top, round(quantile_cont(v, 0.9), 6) AS q9 FROM p")
@@ -581,7 +583,8 @@ def keyword_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.keyword_product(none, r.select("r_name", "r_regionkey"), n.select("n_name", "n_nationkey"), 100)
 
 
-@query("SELECT p_partkey, p_name || CASE WHEN k = 1 THEN '' ELSE '_' || k END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS k FROM part)")
+@query(r"""SELECT p_partkey, CASE WHEN k = 1 THEN p_name ELSE regexp_replace(p_name, '(\.[^./\\]*)$', '') || '_' || k || regexp_extract(p_name, '(\.[^./\\]*)$', 1) END AS unique_name
+FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS k FROM part)""")
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.unique_names(table(spark, sf_dir, "part"), "p_name", "p_partkey").select("p_partkey", "unique_name")
 
@@ -652,15 +655,127 @@ def header_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT event_type, user_id FROM events")
 def stream_dedupe_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events replayed as a file stream; first rows per key are appended by a checkpointed query."""
-    import tempfile
-
     from .streaming import ingest as I
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="figloom-")).as_uri()
-    base = f"{root.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{id(object())}"
+    base = _folder(spark, "stream")
     src = table(spark, sf_dir, "events").select("event_type", "user_id")
     src.repartition(4).write.parquet(f"{base}/in")
     stream = I.file_stream(spark, f"{base}/in", "event_type string, user_id long", 1, "parquet")
     out = I.first_per_key(stream, F.concat_ws("|", "event_type", "user_id"))
     I.append(out, f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.schema("event_type string, user_id long").parquet(f"{base}/out")
+
+
+# drawing order, guarded times, jitter, products
+
+def _placed(df: DataFrame, key: str) -> DataFrame:
+    """The sorted rows' places, from the order in which one writer sees them."""
+    return df.select(key, (F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))).cast("long").alias("place"))
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size NULLS LAST, p_partkey) AS place FROM (SELECT p_partkey, CAST(DATE '2024-01-01' + CAST(p_size AS INTEGER) AS TIMESTAMP) AS p_size FROM part)")
+def drawing_order_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "part").select("p_partkey", F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size").cast("int")).cast("timestamp").alias("at"))
+    return _placed(E.drawing_order(df, "at", "p_partkey"), "p_partkey")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY b, p_partkey) AS place FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand) AS b FROM part)")
+def drawing_order_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(E.drawing_order(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey"), "p_partkey")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY t, b, p_partkey) AS place FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_type) AS t, min(p_partkey) OVER (PARTITION BY p_brand) AS b FROM part)")
+def drawing_order_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    return _placed(E.drawing_order(df, "p_brand", "p_partkey", "p_type"), "p_partkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) END AS day, o_orderpriority FROM orders")
+def guarded_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of one text column parse, none of the other."""
+    day = F.when(F.col("o_orderkey") % 3 == 0, "n/a").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    df = table(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"), "o_orderpriority")
+    return E.guarded_moment(E.guarded_moment(df, "day"), "o_orderpriority")
+
+
+@query("SELECT p_partkey, true AS near, CAST(p_size AS BIGINT) AS code FROM part")
+def jitter_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("code"))
+    df = df.withColumn("x", E.jitter(F.col("code"), 50, 7))
+    return df.select("p_partkey", ((F.abs(F.col("x") - F.col("code")) <= 0.02) & (F.round("x") == F.col("code"))).alias("near"), "code")
+
+
+@query("SELECT l_returnflag, round(product(1 + l_discount / 1000), 6) AS total FROM lineitem GROUP BY 1")
+def aggregate_prod(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem").withColumn("v", 1 + F.col("l_discount") / 1000)
+    plan = {"transforms": [{"op": "aggregate", "group_by": ["l_returnflag"], "measures": [{"col": "v", "agg": "prod", "as": "total"}]}]}
+    return rounded(P.apply_plan(df, plan), "total", digits=6)
+
+
+# files written and read back
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "jsonl")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    K.write_jsonl(part.filter("p_partkey % 2 = 0"), path)
+    K.write_jsonl(part.filter("p_partkey % 2 = 1"), path, append=True)
+    return T.read_jsonl(spark, path, part.schema.simpleString()[7:-1].replace(":", " ")).drop(T.ROW)
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, '' AS nothing FROM part")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "csv")
+    K.write_csv(table(spark, sf_dir, "part"), path, ["p_partkey", "p_name", "nothing"])
+    return T.read_csv(spark, path, "p_partkey string, p_name string, nothing string").drop(T.ROW).na.fill("")
+
+
+@query("SELECT DISTINCT trim(p_type) AS value FROM part WHERE trim(p_type) <> ''")
+def line_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "lines")
+    part = table(spark, sf_dir, "part")
+    part.select(F.concat(F.lit("  "), "p_type", F.lit(" ")).alias("value")).unionAll(part.select(F.lit(" "))).write.text(path)
+    return T.read_lines(spark, path)
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 4 <> 0")
+def ledger_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of a ledger of two appends, with and without a reason, are skipped."""
+    from .streaming import ingest as I
+
+    path, part = _folder(spark, "ledger"), table(spark, sf_dir, "part").select("p_partkey")
+    K.append_ledger(part.filter("p_partkey % 8 = 0"), path, "p_partkey")
+    K.append_ledger(part.filter("p_partkey % 8 = 4").withColumn("why", F.lit("no-figures")), path, "p_partkey", "why")
+    known = I.ledger_keys(spark, path).select(F.col("_key").cast("long").alias("p_partkey"))
+    return R.unprocessed(part, known, "p_partkey")
+
+
+@query("SELECT p_partkey, lower(trim(p_brand)) = 'brand#13' OR starts_with(lower(trim(p_brand)), 'brand#2') AS inside FROM part")
+def family_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inside = R.in_family(F.array(F.concat(F.lit(" "), "p_brand")), ["Brand#13"], ["brand#2"])
+    return table(spark, sf_dir, "part").select("p_partkey", inside.alias("inside"))
+
+
+@query("SELECT CAST(i AS BIGINT) AS id, CAST(i % 7 AS BIGINT) AS page FROM range(40) t(i)")
+def cursor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a cursor-paged source up to the one without a next cursor; the first try of each page fails."""
+    spark.dataSource.register(T.cursor_source(T.retrying(_flaky_pages(), sleep=0.0), "id long, page long", 7, 1_000, "demo_cursor"))
+    return spark.read.format("demo_cursor").option("query", "q").load()
+
+
+def _flaky_pages():
+    failed = set()
+
+    def fetch(query: str, cursor: str | None, rows: int):
+        at = int(cursor or 0)
+        if at not in failed:
+            failed.add(at)
+            raise OSError("busy")
+        got = [(i, i % 7) for i in range(at, min(at + rows, 40))]
+        return got, str(at + rows) if at + rows < 40 else None
+
+    return fetch

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +16,13 @@ def session(app: str = "figloom", **conf: str) -> SparkSession:
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset a folder of our own, in local mode only."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return Path(tempfile.mkdtemp(prefix="figloom-")).as_uri()

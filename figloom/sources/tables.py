@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import io
 import re
+import time
 import zipfile
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
@@ -20,8 +21,17 @@ ROW = "_row_idx"
 
 
 def with_row_index(df: DataFrame, name: str = ROW) -> DataFrame:
-    """Rows numbered in the order of the scan (ascending, with gaps)."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """A file scan's rows numbered from 0 by file path and place in it, whatever order the splits are read in.
+
+    One row per split is counted first; rows of a split keep its order.
+    """
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    rows = df.select("*", *split, F.monotonically_increasing_id().alias("_at"))
+    splits = rows.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.withColumn("_before", before)
+    out = rows.join(F.broadcast(splits), ["_file", "_start"])
+    return out.select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias(name))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, **options) -> DataFrame:
@@ -227,3 +237,51 @@ def paged_source(fetch, schema: str, page_rows: int, most: int, source_name: str
             return Reader()
 
     return Paged
+
+
+def retrying(fetch, tries: int = 3, sleep: float = 1.0, errors: tuple = (OSError,)):
+    """``fetch`` that is called again after an error, after waits that double; the last error is raised."""
+
+    def call(*args):
+        for n in range(1, tries + 1):
+            try:
+                return fetch(*args)
+            except errors:
+                if n == tries:
+                    raise
+                time.sleep(sleep * 2 ** (n - 1))
+
+    return call
+
+
+def cursor_source(fetch, schema: str, page_rows: int, most: int, source_name: str = "cursor") -> type[DataSource]:
+    """A data source over ``fetch(query, cursor, rows) -> (rows, next cursor)``: pages one after the other, as each
+    names the next, until ``most`` rows, a page without a next cursor, or none at all (None: not found)."""
+
+    class Cursor(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return source_name
+
+        def schema(self) -> str:
+            return schema
+
+        def reader(self, schema: StructType) -> DataSourceReader:
+            query = self.options.get("query", "")
+
+            class Reader(DataSourceReader):
+                def read(self, partition: InputPartition | None) -> Iterator[tuple]:
+                    cursor, left = None, most
+                    while left > 0:
+                        page = fetch(query, cursor, min(page_rows, left))
+                        if page is None:
+                            return
+                        rows, cursor = page
+                        yield from rows[:left]
+                        left -= len(rows)
+                        if not rows or cursor is None:
+                            return
+
+            return Reader()
+
+    return Cursor

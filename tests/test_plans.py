@@ -44,11 +44,14 @@ def test_inference_without_intent():
 def test_scores_and_texts():
     s = P.derive_spec({}, {"columns": {"a": "string", "b": "numeric", "c": "string"}})
     assert P.score(s)["data_fidelity"] == 0.75
-    assert P.diagnostics({"overlays": []})[0]["key"] == "title_missing"
-    assert "title" in P.feedback(P.diagnostics({})) or P.feedback(P.diagnostics({}))
+    assert [(d["key"], d["slot"], d["sev"]) for d in P.diagnostics({"overlays": []})] == [("title.missing", "axes.labels", 2)]
+    bad = {"overlays": [{}, {}], "layout": {"legend": {"loc": "none"}}, "scales": {"y_left": {"breaks": "x"}, "y_right": {"kind": "log"}}}
+    keys = ["title.missing", "legend.overlap", "broken.axis.symbol.missing", "bad.scale.y_right.log", "low.contrast.series.2", "empty.plot"]
+    assert [d["key"] for d in P.diagnostics(bad, 0.1)] == keys
+    assert P.feedback(P.diagnostics(bad, 0.1)).splitlines()[1].startswith("- [empty.plot] data.aggregate")
     assert P.parse_rules("a: 1\nb:\n  c: true\n  d:\n    - x\n    - 2\n") == {"a": 1, "b": {"c": True, "d": ["x", 2]}}
     assert P.axis_labels(["a", "b"], ["b", "c"]) == ["a", "b (L)", "b (R)", "c"]
-    assert P.tick_step(120) == 3 and P.scale_kind("log", 0.1) == "linear"
+    assert P.tick_step(120) == 3 and [P.scale_kind("log", x) for x in (0.1, 0.2)] == ["linear", "log"]
     assert P.image_score([[[0, 0, 0]] * 4] * 4) == 0.1
 
 
@@ -56,6 +59,10 @@ def test_figure_document(spark):
     df = spark.createDataFrame([("m1", "a", 1.0, 5), ("m1", "b", 3.0, 6), ("m2", "a", 2.0, 7), ("m2", "a", 2.0, 8)], "month string, channel string, share double, units int")
     doc = FIG.figure(df, {"x": "month", "y": "units", "group": "channel", "chart_family": "bar"}, {"data.prepare": lambda d, s: d.filter("units > 5")})
     assert {(r["month"], r["channel"], r["height"]) for r in doc["data"]["bar"]} == {("m1", "b", 6.0), ("m2", "a", 15.0), ("m1", "a", 0.0), ("m2", "b", 0.0)}
+    assert [(r["month"], r["channel"]) for r in doc["data"]["bar"]] == [("m1", "a"), ("m2", "a"), ("m1", "b"), ("m2", "b")] and doc["truncated"] == []
+    assert FIG.figure(df, {"x": "month", "y": "units", "group": "channel", "chart_family": "bar"}, rows=2)["truncated"] == ["bar", "area"]
+    assert doc["legend"] == {"mode": "best", "ncol": 1, "outside": False} and doc["fonts"]["title"] == 1.1 + 0.05 * (len(doc["spec"]["overlays"]) - 1)
+    assert doc["ratios"]["bar"] is False and doc["area_style"]["alpha_line"] == pytest.approx(0.8)
     assert doc["y_range"] == (0.0, 8.0) and "bar of units" in doc["alt_text"]
 
 
@@ -85,3 +92,32 @@ def test_evidence(spark):
     assert L.json_safe({"a": float("nan"), "b": (1, None)}) == {"a": None, "b": [1, None]}
     prof = L.workbook_profile({"s": spark.createDataFrame([(1,)], "c int")}, lambda d: [{"name": c} for c in d.columns])
     assert prof["column_whitelist"] == {"s": ["c"]}
+
+
+def plain_mark(family, ratio, time, group, numeric):
+    """The rules as prose has them: a family asked for decides; else grouped shares are areas, times lines, groups bars, numbers dots."""
+    asked = {"column": "bar", "stacked_bar": "stacked", "bubble": "scatter"}.get(family, family)
+    grouped = "grouped" if group else "main"
+    by_family = {
+        "bar": ("bar", grouped), "stacked": ("bar", "stacked"), "line": ("line", "main"), "scatter": ("scatter", "main"),
+        "area": ("area", "stacked" if group and ratio else "fill"), "stacked_area": ("area", "stacked"),
+    }
+    own = [(group and ratio, ("area", "stacked")), (time, ("line", "main")), (group, ("bar", "grouped")), (numeric, ("scatter", "main")), (True, ("line", "main"))]
+    return by_family.get(asked) or next(m for holds, m in own if holds)
+
+
+def test_mark_table():
+    for family in ("bar", "column", "stacked", "stacked_bar", "line", "area", "stacked_area", "scatter", "bubble", "", "pie"):
+        for k in range(16):
+            ratio, time, group, numeric = (bool(k >> i & 1) for i in range(4))
+            names = {"date" if time else "kind": "string", "rate" if ratio else "sum": "numeric" if numeric else "string", "g": "string"}
+            x, y, _ = names
+            assert P.choose_mark(cols(names, {}, 50), family, x, y, "g" if group else None)[:2] == plain_mark(family, ratio, time, group, numeric)
+
+
+def test_roles_of_earlier_values_and_ratios_by_value():
+    c = cols({"day": "datetime", "sales": "numeric", "sales_last_year": "numeric", "win_rate": "numeric", "cost": "numeric"}, {}, 40)
+    got = {o["y"]: (o["mark"], o["yaxis"]) for o in P.compose(c, {"x": "day", "y": "sales"})["overlays"]}
+    assert got == {"sales": ("line", "left"), "sales_last_year": ("line", "left"), "win_rate": ("line", "right"), "cost": ("line", "left")}
+    assert P.is_ratio(c, "cost", 0.7, 1.2) and not P.is_ratio(c, "cost", 0.7, 2.0) and not P.is_ratio(c, "cost")
+    assert P.is_ratio(cols({"up%x": "numeric"}, {}, 1), "up%x", 0.0, 90.0, 10.0)

@@ -1,12 +1,18 @@
 import json
+import random
+import re
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from figloom.functions import text as X
+from figloom.operators import encode as E
 from figloom.operators import extract as H
 from figloom.operators import harvest as R
+from figloom.operators import marks as M
+from figloom.operators import stats as S
 from figloom.sources import sinks, tables
 from figloom.streaming import ingest
 
@@ -126,6 +132,82 @@ def test_stream_restart(spark, tmp_path):
     assert go() == ["x", "y"]
     feed("b.json", ["y", "z"])
     assert go() == ["x", "y", "z"]
-    got = []
-    n = ingest.until(ingest.file_stream(spark, src, schema, 1), str(tmp_path / "s2"), 3, lambda d: d.filter("doi is not null"), lambda d: got.extend(d.collect()))
-    assert n == 3 and len(got) == 3
+
+
+def test_until_over_restarts(spark, tmp_path):
+    """12 rows in 4 files: what is beyond a limit comes with a larger one, and no row comes twice."""
+    (tmp_path / "in").mkdir()
+    for k in range(4):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps({"doi": f"{k}-{i}" if i < 3 else None}) for i in range(4)))
+    held = {}
+
+    def run(limit):
+        s = ingest.file_stream(spark, str(tmp_path / "in"), "doi string", 1)
+        n = ingest.until(s, str(tmp_path / "state"), limit, lambda d: d.filter("doi is not null"), lambda d, k: held.update({k: [r[0] for r in d.collect()]}))
+        rows = [x for b in held.values() for x in b]
+        assert n == len(rows) == len(set(rows))
+        return n
+
+    assert [run(4), run(4), run(6), run(100), run(100)] == [4, 4, 6, 12, 12]
+
+
+def plain_names(names):
+    used, out = set(), []
+    for n in names:
+        found = re.search(r"\.[^./\\]*$", n)
+        head, tail = (n[: found.start()], found.group()) if found else (n, "")
+        k, attempt = 2, n
+        while attempt.lower() in used:
+            attempt, k = f"{head}_{k}{tail}", k + 1
+        used.add(attempt.lower())
+        out.append(attempt)
+    return out
+
+
+def test_unique_names_try_until_free(spark):
+    g = random.Random(4)
+    names = ["a", "a", "a_2", "x.png", "X.png", "x_2.PNG", "b.tar.gz", "B.tar.gz", "a_2_2", "a"]
+    names += [g.choice("ab") + g.choice(["", "_2", "_3", "_2_2"]) + g.choice(["", ".x", ".Y"]) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(names)), "i int, n string")
+    got = [r["unique_name"] for r in R.unique_names(df, "n", "i").orderBy("i").collect()]
+    assert got == plain_names(names) and len({x.lower() for x in got}) == len(got)
+    assert got[:6] == ["a", "a_2", "a_2_2", "x.png", "X_2.png", "x_2_2.PNG"]
+
+
+def test_drawing_order_and_guarded_times(spark):
+    rows = [(0, "b", "s2", "2024-03-01"), (1, "a", "s1", "2024-01-01"), (2, "b", "s1", None), (3, None, "s2", "2024-02-01"), (4, "a", "s2", "x")]
+    df = spark.createDataFrame(rows, "i int, c string, s string, t string")
+    ids = lambda d: [r["i"] for r in d.collect()]
+    assert ids(E.drawing_order(df, "c", "i")) == [0, 2, 1, 4, 3]
+    assert ids(E.drawing_order(df, "c", "i", "s")) == [0, 4, 3, 2, 1]
+    timed = E.guarded_moment(df, "t")
+    assert timed.schema["t"].dataType.simpleString() == "timestamp" and ids(E.drawing_order(timed, "t", "i")) == [1, 3, 0, 2, 4]
+    assert E.guarded_moment(df, "c").schema == E.guarded_moment(df, "t", False).schema == df.schema
+    assert E.guarded_moment(df.limit(2), "t").schema == df.schema  # two are too few
+
+
+def test_quantiles_of_large_and_small_groups(spark):
+    g = np.random.default_rng(5)
+    groups = {"big": g.normal(size=40_001), "ties": g.integers(0, 5, 30_000).astype(float), "small": g.normal(size=7), "one": np.array([3.0]), None: g.normal(size=12_345)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double")
+    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = {r[0]: list(r)[1:] for r in S.quantiles(df, "v", shares, ["k"]).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        assert np.allclose(got[k], np.quantile(vs, shares), atol=1e-12)
+    assert S.quantiles(df.limit(0), "v", (0.5,)).collect() in ([], [(None,)])
+
+
+def test_density_by_bins(spark):
+    v = np.random.default_rng(6).normal(size=5_000)
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    exact = {r["i"]: r["density"] for r in M.violin(df, "v", grid=20, bins=10_000).collect()}
+    binned = {r["i"]: r["density"] for r in M.violin(df, "v", grid=20, bins=512).collect()}
+    assert len(exact) == 20 and all(abs(exact[i] - binned[i]) < 1e-4 for i in exact)
+
+
+def test_grid_of_too_many_columns(spark):
+    df = spark.range(50).selectExpr("id % 3 as a", "id as b", "1.0 as v")
+    assert E.dense_grid(df, "a", "b", "v", most=50).count() == 150
+    with pytest.raises(ValueError):
+        E.dense_grid(df, "a", "b", "v", most=49)
