@@ -72,9 +72,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(table: DataFrame) -> None:
-    """Delete a table of ``materialise`` that no plan still to be run reads."""
-    files, at = _files(table.sparkSession, table.stored_at)
+    """Delete a table of ``materialise`` that no plan still to be run reads.
+
+    The shuffle files of plans that are done go too: Spark's cleaner drops them once the driver's JVM has
+    collected their plans, which it would do late by itself.
+    """
+    spark = table.sparkSession
+    files, at = _files(spark, table.stored_at)
     files.delete(at, True)
+    spark._jvm.System.gc()
 
 
 def unused(df: DataFrame, name: str) -> str:

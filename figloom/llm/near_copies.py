@@ -1,15 +1,18 @@
 """Near copies: documents whose sets of 5-word shingles have a Jaccard similarity of at least 0.8, found without loss.
 
-1. Each text becomes its set of shingle hashes where it lies; equal sets are one node.
-2. Prefix filter: with each set in one global order (rare shingles first), two sets
+1. Each text becomes its set of shingle hashes and the SimHash of its shingles where it lies; equal sets are one node.
+2. The trie self-join of ``op2_simhash`` links near fingerprints.  It finds the closest
+   copies, and of large groups of them most, but loses pairs at that similarity, so
+3. a prefix filter completes it: with each set in one global order (rare shingles first), two sets
    that are near share a shingle among the first n - ceil(0.8 n) + 1 of each.  Only
    those are dealt out.  The order comes from counts in a bounded sample; it changes
    the speed only, never the result.
-3. Sets that share a prefix shingle are candidates unless their lengths or the
-   shingle's places rule the similarity out.  The first round compares a chain and a tree in each
-   group, the second all candidates that are not linked yet, so a group of near
-   copies does not make all its pairs.
-4. Candidates are compared over their whole sets; links join to components as in op2.
+4. Sets that share a prefix shingle are candidates unless their lengths or the
+   shingle's places rule the similarity out.  The first round compares what the trie links, a chain and a
+   tree in each group, and all of a large group with its hubs (the sets in which the group's shingle comes
+   first have the fewest rare shingles of their own, so what was copied most).  The second round
+   compares all candidates that are not linked yet, so a group of near copies does not make all its pairs.
+5. Candidates are compared over their whole sets; links join to components as in op2.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, whole_text
-from .op2_simhash import components, label
+from .common import discard, materialise, whole_text
+from .op2_simhash import MAX_BITS, components, fingerprint_texts, label, links
 from .op3_decontaminate import shingles
 from .op10_tokens import steps
 
@@ -31,6 +34,10 @@ WORDS = 5
 SAMPLE, COMMON = 20_000, 50_000
 #: Postings of a sorted partition that are paired at once (whole groups), and pairs made at once.
 CHUNK, PAIRS = 400_000, 2_000_000
+#: So many fingerprints (8 bytes each) are broadcast; beyond, the join is by shuffle.
+BROADCAST_ENDS = 500_000
+#: Postings from which on a group is large, and its hubs.
+LARGE, HUBS = 32, 4
 
 
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
@@ -42,7 +49,7 @@ def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
 
 
 def sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, hashes): ``fp`` stands for the set."""
+    """(doc_id, fp, sim, hashes): ``fp`` stands for the set, ``sim`` is the SimHash."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,13 +57,16 @@ def sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
         for whole in batches:
             for b in steps(whole, "_text") if whole.num_rows else ():
-                each = [shingle_set(t) for t in b.column("_text").to_pylist()]
+                texts = b.column("_text").to_pylist()
+                each = [shingle_set(t) for t in texts]
+                sim = fingerprint_texts(texts, WORDS).view(np.int64)
                 fp = np.array([xxh64_intdigest(x.tobytes(), 42) for x in each], np.uint64).view(np.int64)
                 cut = np.cumsum([0, *map(len, each)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(each).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), lists], names=["doc_id", "fp", "hashes"])
+                cols = [b.column("doc_id"), pa.array(fp), pa.array(sim), lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "sim", "hashes"])
 
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint, hashes array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, fp bigint, sim bigint, hashes array<bigint>")
 
 
 def common_shingles(found: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +104,7 @@ def postings(found: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
             cols = [pa.array(h), pa.array(size[row].astype(np.int32)), pa.array(fp), pa.array(at.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=["h", "n", "fp", "at"])
 
-    return found.select("fp", "hashes").mapInArrow(run, "h bigint, n int, fp bigint, at int").distinct()
+    return found.select("fp", "hashes").mapInArrow(run, "h bigint, n int, fp bigint, at int")
 
 
 def in_groups(df: DataFrame, run: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -136,9 +146,11 @@ def _starts(h: np.ndarray) -> np.ndarray:
 
 
 def shared_postings(found: DataFrame) -> DataFrame:
-    """The postings of groups of two or more."""
+    """The postings of groups of two sets or more, each once."""
 
     def run(h, n, fp, at):
+        once = np.concatenate([[True], (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])])
+        h, n, fp, at = h[once], n[once], fp[once], at[once]
         again = np.concatenate([[False], h[1:] == h[:-1]])
         keep = again | np.append(again[1:], False)
         if keep.any():
@@ -149,9 +161,13 @@ def shared_postings(found: DataFrame) -> DataFrame:
 
 
 def _pairs(i: np.ndarray, j: np.ndarray, n: np.ndarray, fp: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(a, b) of the rows i and j whose sizes and places allow a similarity of 0.8."""
-    n, at = n.astype(np.int64), at.astype(np.int64)
-    most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
+    """(a, b) of the rows i and j whose sizes and places allow a similarity of 0.8.
+
+    In the group of the first shingle that two sets share they have nothing in common before it, so the rest bounds
+    what they share.  A pair that is ruled out by this in a later group has had its first one.
+    """
+    left = n.astype(np.int64) - at
+    most = np.minimum(left[i], left[j])
     keep = (9 * most >= 4 * (n[i] + n[j])) & (fp[i] != fp[j])
     if keep.any():
         x, y = fp[i[keep]], fp[j[keep]]
@@ -159,14 +175,33 @@ def _pairs(i: np.ndarray, j: np.ndarray, n: np.ndarray, fp: np.ndarray, at: np.n
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def trie_candidates(found: DataFrame) -> DataFrame:
+    """(a, b), a > b: sets of one SimHash with one of them, and one set each of linked SimHashes."""
+    each = found.select("fp", "sim").distinct()
+    nodes = materialise(each.groupBy("sim").agg(F.min("fp").alias("rep")), "simhashes")
+    same = each.join(nodes, "sim").select("fp", "rep")
+    near = links(nodes.select(F.col("sim").alias("fp")), nodes.count(), MAX_BITS)
+    x, y = (nodes.select(F.col("sim").alias(k), F.col("rep").alias(f"_{k}")) for k in ("a", "b"))
+    near = near.join(x, "a").join(y, "b").select(F.col("_a").alias("fp"), F.col("_b").alias("rep"))
+    both = same.unionByName(near).filter("fp <> rep")
+    return both.select(F.greatest("fp", "rep").alias("a"), F.least("fp", "rep").alias("b")).distinct()
+
+
 def first_candidates(posted: DataFrame) -> DataFrame:
-    """(a, b), a > b: each posting with the one before it and with its parent in a binary tree over its group."""
+    """(a, b), a > b: each posting with the one before it, with its parent in a binary tree over its group, and with a large group's hubs."""
 
     def run(h, n, fp, at):
         first, k = _starts(h), np.arange(len(h))
         inner = k > first
-        i = np.concatenate([k[inner] - 1, first[inner] + (k - first - 1)[inner] // 2])
-        yield from _pairs(i, np.concatenate([k[inner], k[inner]]), n, fp, at)
+        i = [k[inner] - 1, first[inner] + (k - first - 1)[inner] // 2]
+        j = [k[inner], k[inner]]
+        size = np.bincount(first, minlength=len(h))
+        by_place = np.lexsort((fp, at, first))  # each group's rows stay together
+        for hub in range(HUBS):
+            large = size[first] >= LARGE
+            i.append(by_place[first[large] + hub])
+            j.append(k[large])
+        yield from _pairs(np.concatenate(i), np.concatenate(j), n, fp, at)
 
     return in_groups(posted, run, "a bigint, b bigint").distinct()
 
@@ -193,14 +228,18 @@ def other_candidates(posted: DataFrame) -> DataFrame:
 
 
 def near(candidates: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """The candidates whose whole sets have a similarity of at least 0.8."""
+    """The candidates whose whole sets have a similarity of at least 0.8, as a table."""
     pairs = materialise(candidates, name)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    own = found.select("fp", "hashes").join(ends, "fp", "left_semi").dropDuplicates(["fp"])
+    ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), f"{name}-ends")
+    small = ends.count() <= BROADCAST_ENDS  # then no set moves that has no candidate
+    own = found.select("fp", "hashes").join(F.broadcast(ends) if small else ends, "fp", "left_semi").dropDuplicates(["fp"])
     own = materialise(own, f"{name}-sets")
     x, y = (own.select(F.col("fp").alias(k), F.col("hashes").alias(f"_{k}")) for k in ("a", "b"))
     both = pairs.join(x, "a").join(y, "b").withColumn("o", F.size(F.array_intersect("_a", "_b")))
-    return both.filter(9 * F.col("o") >= 4 * (F.size("_a") + F.size("_b"))).select("a", "b")
+    out = materialise(both.filter(9 * F.col("o") >= 4 * (F.size("_a") + F.size("_b"))).select("a", "b"), f"{name}-links")
+    for table in (pairs, ends, own):
+        discard(table)
+    return out
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,9 +251,13 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = materialise(sets(df, id_col, text_col), "shingles")
     nodes = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     posted = materialise(shared_postings(postings(found, common_shingles(found, found.count()))), "postings")
-    links = materialise(near(first_candidates(posted), found, "pairs"), "first-links")
-    roots = components(links)
+    first = first_candidates(posted).unionByName(trie_candidates(found)).distinct()
+    linked = near(first, found, "pairs")
+    roots = components(linked)
     rooted = posted.join(roots, posted["fp"] == roots["node"], "left")
     rooted = rooted.select("h", "n", "fp", "at", F.coalesce("root", "fp").alias("root"))
-    links = links.unionByName(near(other_candidates(rooted), found, "more-pairs"))
-    return label(found.select("doc_id", "fp"), nodes, links)
+    linked = linked.unionByName(near(other_candidates(rooted), found, "more-pairs"))
+    out = materialise(label(found.select("doc_id", "fp"), nodes, linked), "near-components")
+    for table in (found, posted):
+        discard(table)
+    return out
