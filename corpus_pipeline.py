@@ -28,6 +28,10 @@ from figloom.llm.op8_toxicity import scored
 from figloom.llm.op9_packing import pack
 
 
+#: So many ids (8 bytes each) are broadcast; beyond, the join is by shuffle.
+BROADCAST_IDS = 500_000
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """Whole rows as ``row``, which no other name can clash with, and their ids as ``id``."""
     return docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"))
@@ -62,10 +66,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Repeated rows of the id that stays all stay.  Texts without words are equal.  An empty table gives no rows.
     """
-    found = near_components(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id")).distinct()
-    return _keyed(docs).join(kept.hint("shuffle_hash"), "id", "left_semi").select("row.*")
+    found = near_components(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    gone = materialise(found.groupBy("id").agg(F.max("kept").alias("kept")).filter("not kept").select("id"), "near-copies")
+    few = gone.count() <= BROADCAST_IDS  # then the rows that stay need not move
+    return _keyed(docs).join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), "id", "left_anti").select("row.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
