@@ -9,6 +9,7 @@ from public_tokenizers import path
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from figloom.llm import near_copies
 from figloom.llm import op9_packing as B
 from figloom.llm import op10_tokens as T
 from figloom.llm.fast_tokens import FastEncoder
@@ -171,3 +172,31 @@ def test_near_copies(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in near_components(df).collect()) == list(enumerate(root))
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
     assert kept == {i for i, r in enumerate(root) if i == r}
+
+
+def test_near_copies_when_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BROADCAST_ENDS", 0)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(base[30:]), " ".join(base)]
+    # a repeated id with another text, and null ids
+    rows = [*enumerate(texts), (1, "something else"), (None, " ".join([*base, "more"])), (None, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in near_components(df).collect())
+    assert got == sorted([("0", "0"), ("1", "0"), ("2", "2"), ("3", "0"), ("1", "1"), ("None", "0"), ("None", "None")])
+
+
+def test_marks_never_rule_out_a_near_pair():
+    rng = np.random.default_rng(3)
+    gone = 0
+    for _ in range(400):
+        n = int(rng.integers(0, 700))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        cut, new = int(rng.integers(0, len(a) + 1)), int(rng.integers(0, 300))
+        b = np.unique(np.concatenate([a[:cut], rng.integers(0, 2**63, new, dtype=np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        x, y = (np.frombuffer(near_copies.parity_mark(s), np.uint8).reshape(1, -1) for s in (a, b))
+        least = int(near_copies.least_apart(x, y)[0])
+        assert least <= apart and least == int(near_copies.least_apart(y, x)[0])
+        gone += 9 * least > len(a) + len(b)
+        assert 9 * least <= len(a) + len(b) or 9 * apart > len(a) + len(b)
+    assert gone > 100
