@@ -24,12 +24,16 @@ strings, one per anchor, and each collection is sorted exactly.
 5. ``cut``: marks return to the documents' groups, where bytes are removed.
 
 The passes are over arrays in memory: a collection is bounded (``COLLECTION``
-strings), and tasks must not write to a machine's own disk.
+strings), and tasks must not write to a machine's own disk.  With ``files`` they are
+over sequential files in the shared folder instead (``file_order``), a collection may be of
+any size, and with ``collapse=False`` every copy goes through the construction; the result is
+the same, at the price that the README gives.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, whole_text
+from .common import documents, new_path, whole_text
 
 WINDOW, KMER = 50, 24
 SPAN = WINDOW - KMER + 1
@@ -48,6 +52,9 @@ CHUNK, GROUP_BYTES = 1 << 20, 4 << 20
 ROWS = "key int, p int, kind int, a binary, b binary, c binary, d binary"
 NAMES = [c.split()[0] for c in ROWS.split(", ")]
 LAST_ID = 2**63 - 1
+#: A suffix in a file: the symbol before it, its common prefix with the one before, its length and its string; rows read at once.
+SUFFIX = np.dtype([("bwt", "u1"), ("lcp", "u1"), ("length", "u1"), ("owner", "<u4")])
+BLOCK = 1 << 16
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -193,11 +200,128 @@ def bwt_order(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return sa >> 8, sa & 255, lcp
 
 
-def smallest_owner(segments: list[bytes], ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+class _Stored:
+    """The suffixes of a file, read in order."""
+
+    def __init__(self, files: pa.fs.FileSystem, path: str):
+        self.stream = files.open_input_stream(path)
+
+    def take(self, n: int) -> np.ndarray:
+        parts, want = [], n * SUFFIX.itemsize
+        while want and (b := self.stream.read(want)):
+            parts.append(b)
+            want -= len(b)
+        return np.frombuffer(b"".join(parts), SUFFIX)
+
+
+def _ranks(old: _Stored, size: int, p: np.ndarray, block: int) -> tuple[np.ndarray, ...]:
+    """One pass over a file of ``size`` suffixes.  Of those at the rising places ``p``: the symbol before each, its rank among equal
+    ones, and the common prefixes of what it becomes with its neighbours (-1: it has none)."""
+    c, rank = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+    before, after = np.full(len(p), -1, np.int16), np.full(len(p), -1, np.int16)
+    # of each symbol: occurrences so far, which of ``p`` the last one is, least common prefix since then
+    have, held, since = np.zeros(256, np.int64), np.full(256, -1), np.full(256, 255, np.uint8)
+    at = k = 0
+    while at < size:
+        rows = old.take(min(block, size - at))
+        n, lcp = len(rows), np.ascontiguousarray(rows["lcp"])
+        stop = int(np.searchsorted(p, at + n))
+        own = np.full(n, -1)
+        own[p[k:stop] - at] = np.arange(k, stop)
+        order = np.argsort(rows["bwt"], kind="stable")
+        symbol, own = rows["bwt"][order], own[order]
+        new = np.concatenate([[True], symbol[1:] != symbol[:-1]])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], n) - 1
+        place = have[symbol] + np.arange(n) - np.repeat(first, last - first + 1)
+        prior = np.where(new, held[symbol], np.concatenate([[-1], own[:-1]]))
+        least = np.minimum(since[symbol], np.minimum.accumulate(lcp)[order])  # right for the first of its symbol here
+        inner = np.flatnonzero(~new & ((own >= 0) | (prior >= 0)))
+        if len(inner):
+            inner = inner[np.argsort(-order[inner - 1], kind="stable")]  # falling starts: nothing is read between two ranges
+            ends = np.empty(2 * len(inner), np.int64)
+            ends[0::2], ends[1::2] = order[inner - 1] + 1, order[inner] + 1
+            least[inner] = np.minimum.reduceat(np.append(lcp, np.uint8(255)), ends)[0::2]
+        mine, follows = own >= 0, (prior >= 0) & (place > 0)
+        c[own[mine]], rank[own[mine]] = symbol[mine], place[mine]
+        mine &= place > 0
+        before[own[mine]] = least[mine].astype(np.int16) + 1
+        after[prior[follows]] = least[follows].astype(np.int16) + 1
+        rest = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.uint8(255))
+        since = np.minimum(since, rest[0])
+        since[symbol[first]] = rest[order[last] + 1]
+        held[symbol[first]] = own[last]
+        have[symbol[first]] += last - first + 1
+        at, k = at + n, stop
+    return c, rank, before, after
+
+
+def _merge(old: _Stored, out: pa.NativeFile, size: int, place: np.ndarray, fresh: np.ndarray, after: np.ndarray, block: int) -> None:
+    """One pass that writes ``size`` suffixes: the ``fresh`` ones at their rising places, the old ones between, common prefixes behind fresh ones as ``after``."""
+    changed = np.flatnonzero(after >= 0)
+    behind, value = place[changed] + 1, after[changed]
+    for at in range(0, size, block):
+        n = min(block, size - at)
+        k, stop = np.searchsorted(place, [at, at + n])
+        rows, kept = np.empty(n, SUFFIX), np.ones(n, bool)
+        kept[place[k:stop] - at] = False
+        rows[kept] = old.take(n - (stop - k))
+        rows[~kept] = fresh[k:stop]
+        x, y = np.searchsorted(behind, [at, at + n])
+        rows["lcp"][behind[x:y] - at] = value[x:y]
+        out.write(rows.tobytes())
+
+
+def file_order(flat: np.ndarray, off: np.ndarray, folder: str, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``bwt_order``, with the transform and the common prefixes in a sequential file.
+
+    A round reads the file once for ranks and common prefixes, and once to write the next one.  In memory are
+    a block of rows and each string's place.  The files are deleted at the end, those of a lost executor with ``folder``.
+    """
+    from pyarrow import fs
+
+    files, root = fs.FileSystem.from_uri(folder)
+    files.create_dir(root, recursive=True)
+    now, then = (f"{root}/{uuid.uuid4().hex}" for _ in range(2))
+    m, length, end = len(off) - 1, np.diff(off), off[1:]
+    rows = np.zeros(m, SUFFIX)
+    rows["bwt"], rows["owner"] = flat[end - 1], np.arange(m)
+    with files.open_output_stream(now) as out:
+        out.write(rows.tobytes())
+    pos, starts, size = np.arange(m), np.zeros(256, np.int64), m
+    for j in range(1, int(length.max()) + 1):
+        live = np.flatnonzero(length >= j)
+        live = live[np.argsort(pos[live])]
+        old = _Stored(files, now)
+        c, rank, before, after = _ranks(old, size, pos[live], block)
+        old.stream.close()
+        starts += np.bincount(c, minlength=256)
+        place = m + (np.cumsum(starts) - starts)[c] + rank
+        pos[live] = place
+        by = np.argsort(place)
+        live, place, before, after = live[by], place[by], before[by], after[by]
+        rows = np.zeros(len(live), SUFFIX)
+        rows["bwt"] = np.where(length[live] > j, flat[np.maximum(end[live] - j - 1, 0)], 255)
+        rows["lcp"], rows["length"], rows["owner"] = np.maximum(before, 0), j, live
+        size += len(live)
+        old = _Stored(files, now)
+        with files.open_output_stream(then) as out:
+            _merge(old, out, size, place, rows, after, block)
+        old.stream.close()
+        now, then = then, now
+    old = _Stored(files, now)
+    rows = old.take(size)
+    old.stream.close()
+    for path in (now, then):
+        files.delete_file(path)
+    return rows["owner"].astype(np.int64), rows["length"].astype(np.int64), rows["lcp"].copy()
+
+
+def smallest_owner(segments: list[bytes], ids: np.ndarray, folder: str | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """For each segment, the smallest id over all equal windows, for each of its windows."""
     flat = np.frombuffer(b"".join(segments), np.uint8)
     off = np.concatenate([[0], np.cumsum([len(s) for s in segments])]).astype(np.int64)
-    owner, length, lcp = bwt_order(flat, off)
+    owner, length, lcp = bwt_order(flat, off) if folder is None else file_order(flat, off, folder)
     group = np.cumsum(lcp < WINDOW)
     full = length >= WINDOW
     owner, length, group = owner[full], length[full], group[full]
@@ -277,7 +401,7 @@ def _shared(batches: Iterator[pa.RecordBatch], hot_from: int) -> Iterator[pa.Rec
             yield from _rows(out).to_batches()
 
 
-def _segments(buckets: int):
+def _segments(buckets: int, collapse: bool):
     def run(key: tuple, docs: pa.Table, reply: pa.Table) -> pa.Table:
         if not docs.num_rows or not reply.num_rows:
             return _rows([])
@@ -298,12 +422,12 @@ def _segments(buckets: int):
                         starts += [(-1, x, 1) for x in range(s, s + n)]
                     else:
                         starts.append((a, s, n))
-        return _send(starts, blob, off, ids, p, buckets)
+        return _send(starts, blob, off, ids, p, buckets, collapse)
 
     return run
 
 
-def _send(starts: list, blob: bytes, off: np.ndarray, ids: np.ndarray, p: int, buckets: int) -> pa.Table:
+def _send(starts: list, blob: bytes, off: np.ndarray, ids: np.ndarray, p: int, buckets: int, collapse: bool = True) -> pa.Table:
     """Distinct segments with their smallest id's places, dealt by anchor (single windows by content), and the marks of the rest."""
     docs = np.searchsorted(off, np.array([s for _, s, _ in starts], np.int64), side="right") - 1
     first: dict[tuple[int, bytes], int] = {}
@@ -313,7 +437,7 @@ def _send(starts: list, blob: bytes, off: np.ndarray, ids: np.ndarray, p: int, b
     marks: list[tuple[int, int, int]] = []
     for (h, s, n), d in zip(starts, docs.tolist(), strict=True):
         seg = blob[s : s + n + WINDOW - 1]
-        i = first.setdefault((h, seg), len(kept))
+        i = first.setdefault((h, seg), len(kept)) if collapse else len(kept)
         if i == len(kept):
             kept.append((h, seg))
             best.append(int(ids[d]))
@@ -347,7 +471,7 @@ def hash48(x: bytes) -> int:
     return xxh64_intdigest(x) >> 16
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeats(batches: Iterator[pa.RecordBatch], folder: str | None, collapse: bool) -> Iterator[pa.RecordBatch]:
     for key, rows in _read(batches):
         out: list[tuple] = []
         number: dict[tuple[int, bytes], int] = {}
@@ -370,7 +494,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for j in range(n):
                 s = (heads[j], body[a : ends[j]])
                 a = ends[j]
-                k = number.setdefault(s, len(segments))
+                k = number.setdefault(s, len(segments)) if collapse else len(segments)
                 if k == len(segments):
                     segments.append(s)
                     least.append(owner[j])
@@ -387,7 +511,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def sort(part: list[int]) -> None:
             ids = np.array([least[i] for i in part], np.int64)  # noqa: B023
-            for i, own in smallest_owner([segments[i][1] for i in part], ids):  # noqa: B023
+            for i, own in smallest_owner([segments[i][1] for i in part], ids, folder):  # noqa: B023
                 windows[part[i]] = own  # noqa: B023
 
         for x, y in zip(firsts, [*firsts[1:], len(order)], strict=True):
@@ -445,15 +569,22 @@ def _cut(key: tuple, docs: pa.Table, marks: pa.Table) -> pa.Table:
 
 
 def remove_repeats(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, hot: int = HOT
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    group_bytes: int = GROUP_BYTES,
+    hot: int = HOT,
+    files: bool = False,
+    collapse: bool = True,
 ) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A null text counts as empty.  A null id ranks after all others.  Rows of one
     id, repeated or not, never mark each other.  Texts under 50 bytes lose
-    nothing; an empty table gives no rows.
+    nothing; an empty table gives no rows.  ``files`` and ``collapse`` change the way, not the result.
     """
     spark = df.sparkSession
+    folder = new_path(spark, "suffixes") if files else None
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(shuffle, min(-(-size // group_bytes), 10_000_000))
@@ -466,8 +597,8 @@ def remove_repeats(
 
     found = dealt(rows.groupBy("p").applyInArrow(_anchors(groups), ROWS))
     reply = found.mapInArrow(lambda batches: _shared(batches, hot), ROWS)
-    sent = rows.groupBy("p").cogroup(reply.groupBy("p")).applyInArrow(_segments(groups), ROWS)
-    marks = dealt(sent).mapInArrow(_repeats, ROWS)
+    sent = rows.groupBy("p").cogroup(reply.groupBy("p")).applyInArrow(_segments(groups, collapse), ROWS)
+    marks = dealt(sent).mapInArrow(lambda batches: _repeats(batches, folder, collapse), ROWS)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     return rows.groupBy("p").cogroup(marks.groupBy("p")).applyInArrow(_cut, schema)
 

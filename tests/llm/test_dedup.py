@@ -68,7 +68,14 @@ def test_repeats(docs, hot):
     assert op1_suffix.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_suffix_order():
+@pytest.mark.parametrize("collapse", [True, False])
+def test_repeats_by_files(docs, collapse):
+    rows, df = docs
+    got = op1_suffix.remove_repeats(df, group_bytes=256, files=True, collapse=collapse)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == repeats(rows)
+
+
+def test_suffix_order(tmp_path):
     rng = random.Random(5)
     parts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 60))) for _ in range(80)]
     off = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
@@ -80,6 +87,10 @@ def test_suffix_order():
         return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
     assert all(lcp[i] == common(found[i - 1], found[i]) for i in range(len(parts), len(found)))
+    by_files = [op1_suffix.file_order(np.frombuffer(b"".join(parts), np.uint8), off, str(tmp_path), block) for block in (7, 1 << 16)]
+    for some in by_files:
+        assert all((x[len(parts) :] == y[len(parts) :]).all() for x, y in zip(some, (owner, length, lcp)))
+    assert not list(tmp_path.iterdir())
 
 
 def fingerprint(text):
