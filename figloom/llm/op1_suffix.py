@@ -410,58 +410,65 @@ def _segments(buckets: int, collapse: bool):
         blob = text.tobytes()
         wanted = np.unique(np.concatenate([unpack48(x) for x in reply.column("a").to_pylist()]))
         hot = np.unique(np.concatenate([unpack48(x) for x in reply.column("b").to_pylist()]))
-        starts: list[tuple[int, int, int]] = []
+        found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 3]  # anchor (-1: a single window), start, windows
         for start, count, h in anchor_runs(text, off):
             for some, single in ((wanted, False), (hot, True)):
                 if not len(some):
                     continue
                 at = np.minimum(np.searchsorted(some, h), len(some) - 1)
                 hit = some[at] == h
-                for a, s, n in zip(h[hit].tolist(), start[hit].tolist(), count[hit].tolist(), strict=True):
-                    if single:
-                        starts += [(-1, x, 1) for x in range(s, s + n)]
-                    else:
-                        starts.append((a, s, n))
-        return _send(starts, blob, off, ids, p, buckets, collapse)
+                h_, s, n = h[hit].astype(np.int64), start[hit], count[hit]
+                if single:
+                    s = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    h_, n = np.full(len(s), -1), np.ones(len(s), np.int64)
+                found.append((h_, s, n))
+        return _send(*map(np.concatenate, zip(*found, strict=True)), blob, off, ids, p, buckets, collapse)
 
     return run
 
 
-def _send(starts: list, blob: bytes, off: np.ndarray, ids: np.ndarray, p: int, buckets: int, collapse: bool = True) -> pa.Table:
+def _send(
+    head: np.ndarray,
+    start: np.ndarray,
+    count: np.ndarray,
+    blob: bytes,
+    off: np.ndarray,
+    ids: np.ndarray,
+    p: int,
+    buckets: int,
+    collapse: bool = True,
+) -> pa.Table:
     """Distinct segments with their smallest id's places, dealt by anchor (single windows by content), and the marks of the rest."""
-    docs = np.searchsorted(off, np.array([s for _, s, _ in starts], np.int64), side="right") - 1
-    first: dict[tuple[int, bytes], int] = {}
-    kept: list[tuple[int, bytes]] = []
-    best: list[int] = []
-    places: list[tuple[int, int, int]] = []  # segment, document, position
-    marks: list[tuple[int, int, int]] = []
-    for (h, s, n), d in zip(starts, docs.tolist(), strict=True):
-        seg = blob[s : s + n + WINDOW - 1]
-        i = first.setdefault((h, seg), len(kept)) if collapse else len(kept)
-        if i == len(kept):
-            kept.append((h, seg))
-            best.append(int(ids[d]))
-        if best[i] < ids[d]:  # documents come in order of id
-            marks.append((d, s - int(off[d]), n))
-        else:
-            places.append((i, d, s - int(off[d])))
+    docs = np.searchsorted(off, start, side="right") - 1
+    cuts = zip(start.tolist(), (start + count + WINDOW - 1).tolist(), strict=True)
+    if collapse:  # equal segments have one anchor
+        number: dict[bytes, int] = {}
+        of = np.array([number.setdefault(blob[a:b], len(number)) for a, b in cuts], np.int64)
+        kept = list(number)
+    else:
+        of, kept = np.arange(len(start)), [blob[a:b] for a, b in cuts]
+    first = np.unique(of, return_index=True)[1]  # documents come in order of id
+    best = ids[docs[first]]
+    later = best[of] < ids[docs]
+    within = start - off[docs]
     rows = []
-    anchor = [h if h >= 0 else hash48(seg) for h, seg in kept]
+    anchor = [h if h >= 0 else hash48(seg) for h, seg in zip(head[first].tolist(), kept, strict=True)]
     key_of = np.array([h % buckets for h in anchor], np.int64)
-    place = np.array(places, np.int64).reshape(-1, 3)
+    place = np.stack([of, docs, within], 1)[~later]
     seg_rows = np.split(np.arange(len(place)), np.cumsum(np.bincount(place[:, 0], minlength=len(kept)))[:-1]) if kept else []
     by_segment = np.argsort(place[:, 0], kind="stable")
     for k, part in _by_key(key_of):
-        sizes = np.array([len(kept[i][1]) for i in part], "<u2")
+        sizes = np.array([len(kept[i]) for i in part], "<u2")
         at = np.concatenate([by_segment[seg_rows[i]] for i in part])
         order = np.repeat(np.arange(len(part)), [len(seg_rows[i]) for i in part])
         table = np.stack([order, place[at, 1], place[at, 2]]).astype("<u4")
-        owner = np.array([best[i] for i in part], "<i8")
-        head = np.array([anchor[i] for i in part], np.uint64)
-        body = squeeze(b"".join([kept[i][1] for i in part]))
-        rows.append((k, p, 2, body, squeeze(sizes.tobytes() + pack48(head)), squeeze(owner.tobytes()), squeeze(table.tobytes())))
-    if marks:
-        rows.append((p % buckets, p, 3, squeeze(np.array(marks, "<u4").T.tobytes()), None, None, None))
+        owner = best[part].astype("<i8")
+        heads = np.array([anchor[i] for i in part], np.uint64)
+        body = squeeze(b"".join([kept[i] for i in part]))
+        rows.append((k, p, 2, body, squeeze(sizes.tobytes() + pack48(heads)), squeeze(owner.tobytes()), squeeze(table.tobytes())))
+    if later.any():
+        marks = np.stack([docs, within, count])[:, later].astype("<u4")
+        rows.append((p % buckets, p, 3, squeeze(marks.tobytes()), None, None, None))
     return _rows(rows)
 
 
