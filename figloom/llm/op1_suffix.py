@@ -46,7 +46,7 @@ from .common import documents, new_path, whole_text
 WINDOW, KMER = 50, 24
 SPAN = WINDOW - KMER + 1
 #: Windows of a segment at most, strings sorted in one collection (but for one anchor's), documents that make an anchor hot.
-RUN, COLLECTION, HOT = 64, 8_192, 1_000
+RUN, COLLECTION, HOT = 64, 2_048, 1_000
 #: Bytes of text worked on at once, bytes of stored text per group.
 CHUNK, GROUP_BYTES = 1 << 20, 4 << 20
 ROWS = "key int, p int, kind int, a binary, b binary, c binary, d binary"
