@@ -13,8 +13,9 @@ strings, one per anchor, and each collection is sorted exactly.
    the groups that have them.  Others occur once, their text never moves.
 3. ``segments``: a group sends the distinct segments of shared anchors, each
    with its smallest id; further copies in the group are marked on the spot.  An
-   anchor of very many documents is hot: its segments go as single windows dealt by
-   content, so copies collapse and no task gets them all.
+   anchor of many documents is hot: its segments are cut again by the least hash among the
+   40-byte strings inside, and dealt by that.  One of very many documents goes as
+   single windows dealt by content, so copies collapse and no task gets them all.
 4. ``repeats``: equal segments collapse again.  Anchors with several distinct
    segments go through the column-wise construction: in every round one symbol
    of each string, from its end, is inserted, and the collection's
@@ -35,6 +36,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +45,10 @@ from pyspark.sql import functions as F
 
 from .common import documents, new_path, whole_text
 
-WINDOW, KMER = 50, 24
+WINDOW, KMER, INNER = 50, 24, 40
 SPAN = WINDOW - KMER + 1
-#: Windows of a segment at most, strings sorted in one collection (but for one anchor's), documents that make an anchor hot.
-RUN, COLLECTION, HOT = 64, 2_048, 1_000
+#: Windows of a segment at most, strings sorted in one collection (but for one anchor's), documents that make an anchor hot, and very hot.
+RUN, COLLECTION, HOT, VERY_HOT = 64, 2_048, 1_000, 20_000
 #: Bytes of text worked on at once, bytes of stored text per group.
 CHUNK, GROUP_BYTES = 1 << 20, 4 << 20
 ROWS = "key int, p int, kind int, a binary, b binary, c binary, d binary"
@@ -105,16 +107,81 @@ def unpack48(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def squeeze(b: bytes) -> bytes:
-    from zstandard import ZstdCompressor
+@cache
+def _zstd() -> tuple:
+    from zstandard import ZstdCompressor, ZstdDecompressor
 
-    return ZstdCompressor(3).compress(b)
+    return ZstdCompressor(3), ZstdDecompressor()
 
 
-def expand(b: bytes) -> bytes:
-    from zstandard import ZstdDecompressor
+def squeeze(b: bytes) -> bytes:
+    return _zstd()[0].compress(b)
 
-    return ZstdDecompressor().decompress(b)
+
+def expand(b: bytes) -> bytes:
+    return _zstd()[1].decompress(b)
+
+
+def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as one number."""
+    return np.ndarray((len(text) - 7,), "<u8", buffer=text.data, strides=(1,))
+
+
+def _mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    h = (h ^ x) * _C[3]
+    return h ^ (h >> np.uint64(32))
+
+
+def content_hash(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of strings of 50 bytes or more, by their size and their first and last 48 bytes."""
+    words, h = _words(text), size.astype(np.uint64) * _C[0]
+    for k in range(0, 48, 8):
+        h = _mix(_mix(h, words[start + k]), words[start + size - 8 - k])
+    return h ^ (h >> np.uint64(29))
+
+
+def numbered(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each string's class, and each class's first string.  Strings of a class are equal, byte by byte; equal
+    ones are of one class unless others of the same hash lie between them."""
+    words, h = _words(text), content_hash(text, start, size)
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    a, b = order[1:], order[:-1]
+    same = np.flatnonzero((h[1:] == h[:-1]) & (size[a] == size[b]))
+    new = np.ones(len(order), bool)
+    new[same + 1] = False
+    for k in range(0, int(size.max(initial=0)), 8):
+        same = same[size[a[same]] > k]
+        at = np.minimum(k, size[a[same]] - 8)
+        new[same[words[start[a[same]] + at] != words[start[b[same]] + at]] + 1] = True
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return of, order[new]
+
+
+def inner_runs(text: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, windows, 48-bit hash) of segments cut by the least hash among the 40-byte strings of each window."""
+    many = WINDOW - INNER + 1
+    words, at = _words(text), spread(start, count + many - 1)
+    h = np.zeros(len(at), np.uint64)
+    for k in range(0, INNER, 8):
+        h = _mix(h, words[at + k])
+    h ^= h >> np.uint64(29)
+    least = h.copy()
+    for k in range(1, many):  # past a segment's last window it is not used
+        least[: len(h) - k] = np.minimum(least[: len(h) - k], h[k:])
+    own = spread(np.cumsum(count + many - 1) - (count + many - 1), count)
+    h, at = least[own], at[own]
+    cut = np.ones(len(h), bool)
+    cut[1:] = h[1:] != h[:-1]
+    cut[np.cumsum(count)[:-1]] = True
+    first = np.flatnonzero(cut)
+    return at[first], np.diff(first, append=len(h)), (h[first] * _C[1]) >> np.uint64(16)
 
 
 def _group(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
@@ -378,7 +445,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]
         yield now, held
 
 
-def _shared(batches: Iterator[pa.RecordBatch], hot_from: int) -> Iterator[pa.RecordBatch]:
+def _shared(batches: Iterator[pa.RecordBatch], hot_from: int, very_hot_from: int) -> Iterator[pa.RecordBatch]:
     for key, rows in _read(batches):
         h, who, count = [], [], []
         for i, r in enumerate(rows):
@@ -395,8 +462,8 @@ def _shared(batches: Iterator[pa.RecordBatch], hot_from: int) -> Iterator[pa.Rec
         h, who, total = h[shared], who[shared], total[shared]
         out = []
         for i, part in _by_key(who):
-            hot = total[part] >= hot_from
-            out.append((key, rows[i][1], 1, pack48(h[part[~hot]]), pack48(h[part[hot]]), None, None))
+            heat = (total[part] >= hot_from).astype(int) + (total[part] >= max(hot_from, very_hot_from))
+            out.append((key, rows[i][1], 1, *[pack48(h[part[heat == x]]) for x in range(3)], None))
         if out:
             yield from _rows(out).to_batches()
 
@@ -407,22 +474,25 @@ def _segments(buckets: int, collapse: bool):
             return _rows([])
         p = key[0].as_py()
         text, off, ids, _ = _group(docs)
-        blob = text.tobytes()
-        wanted = np.unique(np.concatenate([unpack48(x) for x in reply.column("a").to_pylist()]))
-        hot = np.unique(np.concatenate([unpack48(x) for x in reply.column("b").to_pylist()]))
-        found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 3]  # anchor (-1: a single window), start, windows
+        wanted, hot, very_hot = (np.unique(np.concatenate([unpack48(x) for x in reply.column(c).to_pylist()])) for c in "abc")
+        found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 2)]  # 48-bit hash, start, windows
         for start, count, h in anchor_runs(text, off):
-            for some, single in ((wanted, False), (hot, True)):
+            for some in (wanted, hot, very_hot):
                 if not len(some):
                     continue
                 at = np.minimum(np.searchsorted(some, h), len(some) - 1)
                 hit = some[at] == h
-                h_, s, n = h[hit].astype(np.int64), start[hit], count[hit]
-                if single:
-                    s = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    h_, n = np.full(len(s), -1), np.ones(len(s), np.int64)
+                h_, s, n = h[hit], start[hit], count[hit]
+                if not len(s):
+                    continue
+                if some is hot:
+                    s, n, h_ = inner_runs(text, s, n)
+                elif some is very_hot:
+                    s = spread(s, n)
+                    n = np.ones(len(s), np.int64)
+                    h_ = content_hash(text, s, n * WINDOW) >> np.uint64(16)
                 found.append((h_, s, n))
-        return _send(*map(np.concatenate, zip(*found, strict=True)), blob, off, ids, p, buckets, collapse)
+        return _send(*map(np.concatenate, zip(*found, strict=True)), text, off, ids, p, buckets, collapse)
 
     return run
 
@@ -431,124 +501,125 @@ def _send(
     head: np.ndarray,
     start: np.ndarray,
     count: np.ndarray,
-    blob: bytes,
+    text: np.ndarray,
     off: np.ndarray,
     ids: np.ndarray,
     p: int,
     buckets: int,
     collapse: bool = True,
 ) -> pa.Table:
-    """Distinct segments with their smallest id's places, dealt by anchor (single windows by content), and the marks of the rest."""
+    """Distinct segments with their smallest id's places, dealt by their hashes, and the marks of the rest."""
     docs = np.searchsorted(off, start, side="right") - 1
-    cuts = zip(start.tolist(), (start + count + WINDOW - 1).tolist(), strict=True)
-    if collapse:  # equal segments have one anchor
-        number: dict[bytes, int] = {}
-        of = np.array([number.setdefault(blob[a:b], len(number)) for a, b in cuts], np.int64)
-        kept = list(number)
-    else:
-        of, kept = np.arange(len(start)), [blob[a:b] for a, b in cuts]
-    first = np.unique(of, return_index=True)[1]  # documents come in order of id
+    size = count + WINDOW - 1
+    # equal segments have one hash; documents come in order of id, so a class's first is its smallest
+    of, first = numbered(text, start, size) if collapse else (np.arange(len(start)),) * 2
     best = ids[docs[first]]
     later = best[of] < ids[docs]
     within = start - off[docs]
+    keys = (head[first] % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((first, keys))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    first, best, keys = first[order], best[order], keys[order]
+    place = np.flatnonzero(~later)
+    place = place[np.argsort(rank[of[place]], kind="stable")]
+    owner_of = rank[of[place]]
+    body = text[spread(start[first], size[first])]
+    ends = np.concatenate([[0], np.cumsum(size[first])])
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]) if len(keys) else [0]
     rows = []
-    anchor = [h if h >= 0 else hash48(seg) for h, seg in zip(head[first].tolist(), kept, strict=True)]
-    key_of = np.array([h % buckets for h in anchor], np.int64)
-    place = np.stack([of, docs, within], 1)[~later]
-    seg_rows = np.split(np.arange(len(place)), np.cumsum(np.bincount(place[:, 0], minlength=len(kept)))[:-1]) if kept else []
-    by_segment = np.argsort(place[:, 0], kind="stable")
-    for k, part in _by_key(key_of):
-        sizes = np.array([len(kept[i]) for i in part], "<u2")
-        at = np.concatenate([by_segment[seg_rows[i]] for i in part])
-        order = np.repeat(np.arange(len(part)), [len(seg_rows[i]) for i in part])
-        table = np.stack([order, place[at, 1], place[at, 2]]).astype("<u4")
-        owner = best[part].astype("<i8")
-        heads = np.array([anchor[i] for i in part], np.uint64)
-        body = squeeze(b"".join([kept[i] for i in part]))
-        rows.append((k, p, 2, body, squeeze(sizes.tobytes() + pack48(heads)), squeeze(owner.tobytes()), squeeze(table.tobytes())))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        x, y = np.searchsorted(owner_of, [a, b])
+        at = place[x:y]
+        table = np.stack([owner_of[x:y] - a, docs[at], within[at]]).astype("<u4")
+        heading = size[first[a:b]].astype("<u2").tobytes() + pack48(head[first[a:b]])
+        parts = (body[ends[a] : ends[b]].tobytes(), heading, best[a:b].astype("<i8").tobytes(), table.tobytes())
+        rows.append((int(keys[a]), p, 2, *map(squeeze, parts)))
     if later.any():
         marks = np.stack([docs, within, count])[:, later].astype("<u4")
         rows.append((p % buckets, p, 3, squeeze(marks.tobytes()), None, None, None))
     return _rows(rows)
 
 
-def hash48(x: bytes) -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(x) >> 16
-
-
 def _repeats(batches: Iterator[pa.RecordBatch], folder: str | None, collapse: bool) -> Iterator[pa.RecordBatch]:
     for key, rows in _read(batches):
-        out: list[tuple] = []
-        number: dict[tuple[int, bytes], int] = {}
-        segments: list[tuple[int, bytes]] = []
-        least: list[int] = []
-        seen: list[tuple[int, int, int, int]] = []  # segment, its id here, row, its number in the row
-        tables = []
-        for i, r in enumerate(rows):
+        out: list[tuple] = [(key, r[1], 3, r[3], None, None, None) for r in rows if r[2] == 3]
+        bodies, sizes, heads, owners, tables = [], [], [], [], []
+        sent = 0
+        for r in rows:
             if r[2] == 3:
-                out.append((key, r[1], 3, r[3], None, None, None))
-                tables.append(None)
                 continue
-            body, heading, owners, places = (expand(x) for x in r[3:7])
-            n = len(owners) // 8
-            sizes = np.frombuffer(heading, "<u2", n)
-            heads = unpack48(heading[2 * n :]).tolist()
-            owner = np.frombuffer(owners, "<i8").tolist()
-            ends = np.cumsum(sizes.astype(np.int64)).tolist()
-            a = 0
-            for j in range(n):
-                s = (heads[j], body[a : ends[j]])
-                a = ends[j]
-                k = number.setdefault(s, len(segments)) if collapse else len(segments)
-                if k == len(segments):
-                    segments.append(s)
-                    least.append(owner[j])
-                elif owner[j] < least[k]:
-                    least[k] = owner[j]
-                seen.append((k, owner[j], i, j))
+            body, heading, owner, places = (expand(x) for x in r[3:7])
+            n = len(owner) // 8
             table = np.frombuffer(places, "<u4").reshape(3, -1).astype(np.int64)
-            tables.append((table, np.searchsorted(table[0], np.arange(n + 1))))
-        windows: dict[int, np.ndarray] = {}
-        head = np.array([h for h, _ in segments], np.uint64)
-        order = np.argsort(head, kind="stable")
-        firsts = np.flatnonzero(np.concatenate([[True], head[order][1:] != head[order][:-1]])) if len(order) else []
-        pending: list[int] = []
-
-        def sort(part: list[int]) -> None:
-            ids = np.array([least[i] for i in part], np.int64)  # noqa: B023
-            for i, own in smallest_owner([segments[i][1] for i in part], ids, folder):  # noqa: B023
-                windows[part[i]] = own  # noqa: B023
-
-        for x, y in zip(firsts, [*firsts[1:], len(order)], strict=True):
-            if y - x > 1:  # a lone segment equals no other
-                pending += order[x:y].tolist()
-            if len(pending) >= COLLECTION:
-                sort(pending)
-                pending = []
-        if pending:
-            sort(pending)
-        marks: dict[int, list[np.ndarray]] = {}
-        for k, own, i, j in seen:
-            n = len(segments[k][1]) - WINDOW + 1
-            if least[k] < own:
-                runs = [(0, n)]
-            elif k in windows:
-                hit = np.concatenate([[False], windows[k] < own, [False]])
-                flip = np.flatnonzero(hit[1:] != hit[:-1]).tolist()
-                runs = list(zip(flip[0::2], flip[1::2], strict=True))
-            else:
-                runs = []
-            table, cut = tables[i]
-            for d, at in zip(*table[1:, cut[j] : cut[j + 1]].tolist(), strict=True) if runs else ():
-                marks.setdefault(rows[i][1], []).extend((d, at + x, y - x) for x, y in runs)
-        for p, found in marks.items():
-            out.append((key, p, 3, squeeze(np.array(found, "<u4").T.tobytes()), None, None, None))
+            table[0] += sent
+            sent += n
+            bodies.append(body)
+            sizes.append(np.frombuffer(heading, "<u2", n))
+            heads.append(unpack48(heading[2 * n :]))
+            owners.append(np.frombuffer(owner, "<i8"))
+            tables.append(np.concatenate([table, np.full((1, table.shape[1]), r[1])]))
+        if sent:
+            text = np.frombuffer(b"".join([*bodies, bytes(64)]), np.uint8)
+            found = _marks(text, *map(np.concatenate, (sizes, heads, owners)), np.concatenate(tables, 1), folder, collapse)
+            for p, part in _by_key(found[3]):
+                out.append((key, p, 3, squeeze(found[:3, part].astype("<u4").tobytes()), None, None, None))
         if out:
             yield from _rows(out).to_batches()
 
 
+def _marks(
+    text: np.ndarray, size: np.ndarray, head: np.ndarray, owner: np.ndarray, place: np.ndarray, folder: str | None, collapse: bool
+) -> np.ndarray:
+    """Document, start, windows and group of the repeated windows of segments that lie one after the other in ``text``.
+
+    ``place`` has the number of a segment (rising), a document and a start in it, and the document's group.
+    """
+    size = size.astype(np.int64)
+    start, count = np.cumsum(size) - size, size - WINDOW + 1
+    of, first = numbered(text, start, size) if collapse else (np.arange(len(size)),) * 2
+    least = np.full(len(first), LAST_ID)
+    np.minimum.at(least, of, owner)
+    # collections: whole anchors that have several distinct segments (a lone one equals no other), those of like lengths together
+    order = np.argsort(head[first], kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(head[first[order]]) != 0]))
+    many = np.diff(begin, append=len(order))
+    longest = np.maximum.reduceat(size[first[order]], begin)
+    own, at, pending = [np.empty(0, np.int64)], np.full(len(first), -1), []
+    several = np.flatnonzero(many > 1)
+    several = several[np.argsort(longest[several], kind="stable")]
+    base = waiting = 0
+    for k, i in enumerate(several.tolist()):
+        pending.append(order[begin[i] : begin[i] + many[i]])
+        waiting += many[i]
+        if waiting >= COLLECTION or k + 1 == len(several):
+            part = np.concatenate(pending)
+            lo, hi = start[first[part]].tolist(), (start + size)[first[part]].tolist()
+            segments = [text[a:b].tobytes() for a, b in zip(lo, hi, strict=True)]
+            own += [x for _, x in smallest_owner(segments, least[part], folder)]
+            n = count[first[part]]
+            at[part] = base + np.cumsum(n) - n
+            base += int(n.sum())
+            pending, waiting = [], 0
+    smallest = np.concatenate(own)
+    # runs of repeated windows: whole segments, or by the construction
+    whole = np.flatnonzero(least[of] < owner)
+    some = np.flatnonzero((least[of] >= owner) & (at[of] >= 0))
+    hit = smallest[spread(at[of[some]], count[some])] < np.repeat(owner[some], count[some])
+    ends = np.cumsum(count[some])
+    inside = np.ones(len(hit) + 1, bool)  # no segment begins here
+    inside[ends] = inside[:1] = False
+    before, after = np.concatenate([[False], hit[:-1]]) & inside[:-1], np.concatenate([hit[1:], [False]]) & inside[1:]
+    lo, hi = np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after) + 1
+    inner = np.searchsorted(ends, lo, side="right")
+    segment = np.concatenate([whole, some[inner]])
+    shift = np.concatenate([np.zeros(len(whole), np.int64), lo - (ends - count[some])[inner]])
+    length = np.concatenate([count[whole], hi - lo])
+    x, y = np.searchsorted(place[0], segment), np.searchsorted(place[0], segment, side="right")
+    there = place[:, spread(x, y - x)]
+    return np.stack([there[1], there[2] + np.repeat(shift, y - x), np.repeat(length, y - x), there[3]])
+
+
 def _cut(key: tuple, docs: pa.Table, marks: pa.Table) -> pa.Table:
     text, off, ids, owner = _group(docs)
     n = int(off[-1])
@@ -583,6 +654,7 @@ def remove_repeats(
     hot: int = HOT,
     files: bool = False,
     collapse: bool = True,
+    very_hot: int = VERY_HOT,
 ) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -603,7 +675,7 @@ def remove_repeats(
         return d.repartition("key").sortWithinPartitions("key")
 
     found = dealt(rows.groupBy("p").applyInArrow(_anchors(groups), ROWS))
-    reply = found.mapInArrow(lambda batches: _shared(batches, hot), ROWS)
+    reply = found.mapInArrow(lambda batches: _shared(batches, hot, very_hot), ROWS)
     sent = rows.groupBy("p").cogroup(reply.groupBy("p")).applyInArrow(_segments(groups, collapse), ROWS)
     marks = dealt(sent).mapInArrow(lambda batches: _repeats(batches, folder, collapse), ROWS)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
